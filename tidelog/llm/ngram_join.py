@@ -145,19 +145,29 @@ def sketch(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), the root a component's least node.
 
-    Each round takes the least label among the neighbours, then the label's own label, so rounds grow
-    with the logarithm of a component's width; each round's labels lie in the shared folder.
+    Each round gives a node the least of itself and its neighbours, then that one's own label; edges
+    are then drawn between labels, and those within one label go. So edges dwindle with every round,
+    and rounds grow with the logarithm of a component's width. Each round lies in the shared folder.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
+    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    found = None
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        new = labels.join(seen, "node", "left").select("node", F.least("root", F.coalesce("near", "root")).alias("next"), "root")
-        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        new = stored(new.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("old")), "labels")
-        if new.where("root <> old").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+        # An edge's greater end sees the lesser one; the lesser end is its own label unless it has a lesser neighbour.
+        low = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("m"))
+        jump = low.select(F.col("node").alias("m"), F.col("m").alias("far"))
+        step = stored(low.join(jump, "m", "left").select("node", F.coalesce("far", "m").alias("root")), "labels")
+        if found is None:
+            every = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+            found = every.join(step, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        else:
+            to = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            found = found.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        found = stored(found, "found")
+        ends = edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(step.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        drawn = ends.select(F.coalesce("ra", "a").alias("x"), F.col("rb").alias("y")).where("x <> y")
+        edges = stored(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            return found
 
 
 _LINKS = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
