@@ -5,13 +5,14 @@ escape: the next word is one raw 64-bit id, for ids wider than any layout. A fil
 
     magic | words | block table | document table | footer
 
-Blocks hold up to ``BLOCK`` ids and start at a word; the block table has (first word, ids), so a reader
-seeks to any block and unpacks it with a few vector operations. The document table has (doc_id, is
+Blocks hold ``BLOCK`` ids, the last one of a group of blocks what is left, and start at a word; the block
+table has (first word, ids), so a reader seeks to any blocks and unpacks them with a few vector
+operations. The document table has (doc_id, is
 null, ids). The footer has the two tables' places and lengths.
 
 Input columns ``doc_id`` and ``text``; others are ignored. A null or empty text is the end id alone;
 repeated rows each take their place; ties of doc_id are ordered by text; a null doc_id comes first;
-an empty table gives no rows. A task holds one block of ids, one slice of texts and its shard's
+an empty table gives no rows. A task holds one group of blocks, one slice of texts and its shard's
 document table (24 bytes a document). A shard is written under a name of its own attempt and counts
 only if that attempt's row reaches the manifest, so lost executors leave nothing half read.
 """
@@ -33,91 +34,117 @@ from pyspark.sql import functions as F
 
 from tidelog.llm._shared import filesystem, from_lists, shared_folder, ship, stored
 
-MAGIC, BLOCK = b"TLS8B\0\0\1", 1 << 16
+#: Ids of a block; blocks packed or unpacked at a time; zeros that a block's last word may reach into.
+MAGIC, BLOCK, GROUP, PADDING = b"TLS8B\0\0\1", 1024, 256, 60
 #: (ids in a word, bits of each) by selector from 1 on.
 LAYOUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 FOOTER = struct.Struct("<qqqq")
 #: Remembered pieces of text (a bound on memory only).
-CACHE = 500_000
+CACHE = 800_000
 
 
-def _steps(ids: np.ndarray) -> np.ndarray:
-    """For each place the selector of a word that starts there: the one that holds most ids."""
-    n = len(ids)
-    best = np.zeros(n, np.int8)
+def _below(x: np.ndarray, bits: int) -> np.ndarray:
+    return np.ones(x.shape, bool) if bits >= 8 * x.itemsize else x < x.dtype.type(1 << bits)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """For each place of each block (a row, zeros after its ids) the selector of a word that starts
+    there: the one that holds most ids. Layouts of up to five ids are decided by running maxima, the
+    denser ones, which few places fit, for those places alone."""
+    n = x.shape[1] - PADDING
+    two = np.maximum(x[:, :-1], x[:, 1:])
+    four = np.maximum(two[:, :-2], two[:, 2:])
+    most = {1: x, 2: two, 3: np.maximum(two[:, :-1], x[:, 2:]), 4: four, 5: np.maximum(four[:, :-1], x[:, 4:])}
+    best = np.zeros((len(x), n), np.int8)
+    row = col = np.zeros(0, np.int64)
     for sel in range(len(LAYOUTS), 0, -1):
         count, bits = LAYOUTS[sel - 1]
-        if count == 1:
-            best[ids < np.uint64(1 << bits)] = sel
+        if count <= 5:
+            fits = _below(most[count][:, :n], bits)
+            best[fits] = sel
+            if count == 5:
+                row, col = np.nonzero(fits)
             continue
-        fits = ids < np.uint64(1 << bits)
-        if not fits.any():
+        ok = _below(x[row[:, None], col[:, None] + np.arange(count)], bits).all(axis=1)
+        row, col = row[ok], col[ok]
+        if not len(row):
             break
-        run = np.concatenate([[0], np.cumsum(~fits)])
-        ok = run[np.minimum(np.arange(n) + count, n)] == run[:n]  # padding after the last id fits always
-        best[ok] = sel
+        best[row, col] = sel
     return best
 
 
-def pack(ids: np.ndarray) -> np.ndarray:
-    """Ids of one block as words."""
-    ids = np.ascontiguousarray(ids, np.uint64)
+def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as words, and the number of words of each block of BLOCK ids. All blocks are walked in step,
+    one word of each at a time."""
     n = len(ids)
+    blocks = -(-n // BLOCK)
     if not n:
-        return np.zeros(0, np.uint64)
-    sel = _steps(ids)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    kind = np.uint32 if ids.dtype.itemsize <= 4 else np.uint64
+    x = np.zeros((blocks, BLOCK + PADDING), kind)
+    flat = np.zeros(blocks * BLOCK, kind)
+    flat[:n] = ids
+    x[:, :BLOCK] = flat.reshape(blocks, BLOCK)
+    sel = _steps(x)
     counts = np.array([1, *(c for c, _ in LAYOUTS)])
-    step = counts[sel].tolist()
-    starts, i = [], 0
-    add = starts.append
-    while i < n:
-        add(i)
-        i += step[i]
-    at = np.array(starts)
-    chosen = sel[at]
-    place = np.arange(len(at)) + np.concatenate([[0], np.cumsum(chosen == 0)[:-1]])
-    words = np.zeros(len(at) + int((chosen == 0).sum()), np.uint64)
-    padded = np.concatenate([ids, np.zeros(60, np.uint64)])
+    step = counts[sel].ravel()
+    size = np.full(blocks, BLOCK)
+    size[-1] = n - (blocks - 1) * BLOCK
+    live, at, starts = np.arange(blocks), np.zeros(blocks, np.int64), np.zeros(blocks * BLOCK, bool)
+    while len(live):
+        where = live * BLOCK + at
+        starts[where] = True
+        at = at + step[where]
+        more = at < size[live]
+        live, at = live[more], at[more]
+    where = np.flatnonzero(starts)
+    row, col = where // BLOCK, where % BLOCK
+    chosen = sel[row, col]
+    escapes = chosen == 0
+    place = np.arange(len(where)) + np.cumsum(escapes) - escapes
+    words = np.zeros(len(where) + int(escapes.sum()), np.uint64)
     for s in np.unique(chosen):
-        here = chosen == s
+        here = np.flatnonzero(chosen == s)
+        r, c = row[here], col[here]
         if s == 0:
-            words[place[here] + 1] = padded[at[here]]
+            words[place[here] + 1] = x[r, c]
             continue
         count, bits = LAYOUTS[s - 1]
-        word = np.full(int(here.sum()), int(s) << 60, np.uint64)
+        word = np.full(len(here), int(s) << 60, np.uint64)
         for k in range(count):
-            word |= padded[at[here] + k] << np.uint64(k * bits)
+            word |= x[r, c + k].astype(np.uint64) << np.uint64(k * bits)
         words[place[here]] = word
-    return words
+    return words, np.bincount(row, 1 + escapes, blocks).astype(np.int64)
 
 
-def unpack(words: np.ndarray, n: int) -> np.ndarray:
-    """The block's n ids."""
+def unpack(words: np.ndarray, per_block: np.ndarray, n: int) -> np.ndarray:
+    """The n ids of blocks in a row, given each one's words; every block but the last is full."""
     sel = (words >> np.uint64(60)).astype(np.int64)
-    if (sel == 0).any():  # what follows an escape is no word with a selector
+    block = np.repeat(np.arange(len(per_block)), per_block)
+    raw = np.zeros(0, np.int64)
+    if (sel == 0).any():
+        # What follows an escape is a raw id, which may look like any selector, an escape's included.
         is_raw = np.zeros(len(words), bool)
-        # A raw id may look like any selector, an escape's included: walk them in order.
         for i in np.flatnonzero(sel == 0):
             if not is_raw[i]:
                 is_raw[i + 1] = True
         raw = np.flatnonzero(is_raw)
-        keep = ~is_raw
-    else:
-        raw, keep = np.zeros(0, np.int64), slice(None)
-    counts = np.array([1, *(c for c, _ in LAYOUTS), 0])
-    heads, sels = words[keep], sel[keep]
-    to = np.concatenate([[0], np.cumsum(counts[sels])])[:-1]
-    out = np.zeros(n + 60, np.uint64)
-    for s in np.unique(sels):
-        here = sels == s
+        words, sel, block, raw = words[~is_raw], sel[~is_raw], block[~is_raw], words[raw]
+    counts = np.array([1, *(c for c, _ in LAYOUTS), 0])[sel]
+    before = np.cumsum(counts) - counts
+    first = np.searchsorted(block, np.arange(len(per_block)))
+    to = block * (BLOCK + PADDING) + before - before[first][block] if len(words) else before
+    out = np.zeros(len(per_block) * (BLOCK + PADDING), np.uint64)
+    for s in np.unique(sel):
+        here = np.flatnonzero(sel == s)
         if s == 0:
-            out[to[here]] = words[raw]
+            out[to[here]] = raw
             continue
         count, bits = LAYOUTS[s - 1]
-        mask = np.uint64((1 << bits) - 1)
+        mask, w, t = np.uint64((1 << bits) - 1), words[here], to[here]
         for k in range(count):
-            out[to[here] + k] = heads[here] >> np.uint64(k * bits) & mask
-    return out[:n]
+            out[t + k] = w >> np.uint64(k * bits) & mask
+    return out.reshape(-1, BLOCK + PADDING)[:, :BLOCK].ravel()[:n]
 
 
 class Writer:
@@ -134,17 +161,19 @@ class Writer:
         self.docs.append((doc or 0, int(doc is None), len(ids)))
         self.held.append(ids)
         self.n_held += len(ids)
-        if self.n_held >= BLOCK:
+        if self.n_held >= BLOCK * GROUP:
             self._flush(False)
 
     def _flush(self, all_of_it: bool) -> None:
         ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
-        at = 0
-        while len(ids) - at >= BLOCK or (all_of_it and at < len(ids)):
-            part = ids[at : at + BLOCK]
-            words = pack(part)
+        at, size = 0, BLOCK * GROUP
+        while len(ids) - at >= size or (all_of_it and at < len(ids)):
+            part = ids[at : at + size]
+            words, per_block = pack(part)
             self.out.write(words.tobytes())
-            self.blocks.append((self.words, len(part)))
+            firsts = self.words + np.cumsum(per_block) - per_block
+            sizes = np.diff(np.append(np.arange(0, len(part), BLOCK), len(part)))
+            self.blocks += zip(firsts.tolist(), sizes.tolist(), strict=True)
             self.words += len(words)
             at += len(part)
         self.held, self.n_held = [ids[at:]], len(ids) - at
@@ -173,11 +202,12 @@ class Reader:
         self.docs = np.frombuffer(f.read(24 * n_docs), np.int64).reshape(-1, 3)
         self.words = (at - len(MAGIC)) // 8
 
-    def block(self, k: int) -> np.ndarray:
-        first, n = self.blocks[k]
-        end = self.blocks[k + 1][0] if k + 1 < len(self.blocks) else self.words
-        self.f.seek(int(len(MAGIC) + 8 * first))
-        return unpack(np.frombuffer(self.f.read(int(8 * (end - first))), np.uint64), int(n))
+    def ids(self, lo: int, hi: int) -> np.ndarray:
+        """Ids of blocks lo to hi - 1."""
+        firsts = np.append(self.blocks[lo:hi, 0], self.blocks[hi, 0] if hi < len(self.blocks) else self.words)
+        self.f.seek(int(len(MAGIC) + 8 * firsts[0]))
+        words = np.frombuffer(self.f.read(int(8 * (firsts[-1] - firsts[0]))), np.uint64)
+        return unpack(words, np.diff(firsts), int(self.blocks[lo:hi, 1].sum()))
 
     def documents(self) -> Iterator[tuple[int | None, int, int, int]]:
         """(doc_id, first id's number, ids, crc32 of the ids as 32-bit integers) of each document."""
@@ -186,8 +216,8 @@ class Reader:
             left, crc = 4 * n, 0
             while left:
                 if not held:
-                    held = memoryview(self.block(k).astype("<u4").tobytes())
-                    k += 1
+                    held = memoryview(self.ids(k, min(k + GROUP, len(self.blocks))).astype("<u4").tobytes())
+                    k += GROUP
                 crc = zlib.crc32(held[:left], crc)
                 left, held = left - min(left, len(held)), held[left:]
             yield (None if null else doc), start, n, crc
@@ -210,6 +240,7 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+        self.marks = dict(zip(",.;:!?", self._library(list(",.;:!?")), strict=True))
         self.opens = np.zeros(self.library.get_vocab_size(), bool)  # ids whose text begins with a space
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token[:1] == "\u0120"
@@ -240,13 +271,20 @@ class Encoder:
             if ps:
                 ps[0] = "\0"
         young["\0"] = b""
-        missing = []
+        missing, marked = set(), []
         for p in set().union(*filter(None, pieces)).difference(young):
             if p in old:
                 young[p] = old[p]
             elif p and not p[0].isspace() and not p[-1].isspace():
-                missing.append(p)
+                if p[-1] in self.marks and p[:-1].isalpha():  # letters and a mark are two pre-tokens
+                    marked.append(p)
+                    if p[:-1] not in young:
+                        missing.add(p[:-1])
+                else:
+                    missing.add(p)
+        missing = list(missing)
         young.update(zip(missing, self._pieces(missing), strict=True))
+        young.update((p, young[p[:-1]] + self.marks[p[-1]]) for p in marked)
         get = young.__getitem__
         out: list[bytes | None] = []
         for ps, head, first in zip(pieces, heads, self._library(heads), strict=True):
@@ -257,6 +295,9 @@ class Encoder:
         whole = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = x
+        for p in [*missing, *marked]:
+            if len(p) > 64:
+                del young[p]
         if len(young) >= CACHE // 2:
             self.old, self.young = young, {}
         return out
@@ -285,8 +326,8 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int) ->
                 path = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}.tls8b"
                 out = fs.open_output_stream(path)
                 w = Writer(out)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 for doc, got in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
                     w.add(doc, np.frombuffer(got + end, "<u4"))
