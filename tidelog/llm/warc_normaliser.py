@@ -186,7 +186,9 @@ def normalise(written: DataFrame, folder: str) -> DataFrame:
             out.write("".join(f"{'-' if p is None else p} {o} {size}\n" for _, p, o, size in rows).encode())
         return pa.Table.from_batches([from_lists(_INDEX, rows)])
 
-    return marked.groupBy("file").applyInArrow(rewrite, "file string, page_id long, offset long, length long")
+    # Slim rows bring much work, so their size must not decide how many tasks there are.
+    parts = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return marked.repartition(parts, "file").groupBy("file").applyInArrow(rewrite, "file string, page_id long, offset long, length long")
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -219,7 +221,7 @@ def read_indexed(files: DataFrame, folder: str) -> DataFrame:
                 yield from_lists(_READ, rows)
 
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(parts, "file").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.repartition(parts, F.xxhash64("file")).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
