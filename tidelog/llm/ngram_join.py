@@ -292,7 +292,9 @@ def _links(docs: DataFrame, nodes: DataFrame, gathered: DataFrame) -> DataFrame:
     # Each block meets itself and every other block of its gathering in one task each.
     pairs = withtext.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = pairs.select("node", "n_rows", "bands", "text", "part", "root", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
-    return dealt.groupBy("root", "i", "j").applyInArrow(_verify, "node binary, root binary, links long")
+    # A few rows bring much work, so their size must not decide how many tasks there are.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "root", "i", "j").groupBy("root", "i", "j").applyInArrow(_verify, "node binary, root binary, links long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
