@@ -16,13 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text that one vectorised step holds at a time, in bytes; a longer document is a step of its own.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so workers can import it."""
+    """Send this package to the executors once per application, so workers can import it, and keep
+    Arrow batches small: texts are wide, and workers and executors hold a few batches at a time."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
