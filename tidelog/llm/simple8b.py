@@ -28,11 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm._shared import filesystem, from_lists, shared_folder, ship, stored
+from tidelog.llm._shared import filesystem, from_lists, shared_folder, ship, slices, stored
 
 #: Ids of a block; blocks packed or unpacked at a time; zeros that a block's last word may reach into.
 MAGIC, BLOCK, GROUP, PADDING = b"TLS8B\0\0\1", 1024, 256, 60
@@ -41,6 +42,8 @@ LAYOUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 FOOTER = struct.Struct("<qqqq")
 #: Remembered pieces of text (a bound on memory only).
 CACHE = 800_000
+#: Marks that are one pre-token behind letters; bytes of texts encoded at a time, a longer text alone.
+MARKS, SLICE = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 1 << 23
 
 
 def _below(x: np.ndarray, bits: int) -> np.ndarray:
@@ -227,8 +230,9 @@ class Reader:
 class Encoder:
     """The tokenizers library behind a memory of pieces: a byte-level vocabulary with the usual pattern
     has a pre-token boundary wherever a single space follows other text, so the library need see each
-    distinct piece between such spaces once. Texts with other white space at a piece's end, or with a
-    special string, go to the library whole."""
+    distinct piece between such spaces once. Texts with other white space beside a space, or with a
+    special string, go to the library whole. A newline begins a piece too, and letters with marks behind
+    them are two pre-tokens, so that the library sees words more than their combinations."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -239,69 +243,120 @@ class Encoder:
         self.library.no_padding()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-        self.marks = dict(zip(",.;:!?", self._library(list(",.;:!?")), strict=True))
+        vocabulary = self.library.get_vocab()
         self.opens = np.zeros(self.library.get_vocab_size(), bool)  # ids whose text begins with a space
-        for token, i in self.library.get_vocab().items():
-            self.opens[i] = token[:1] == "\u0120"
+        self.breaks = self.opens.copy()  # ids whose text begins with a newline
+        for token, i in vocabulary.items():
+            self.opens[i], self.breaks[i] = token[:1] == "\u0120", token[:1] == "\u010a"
 
     def _library(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-    def _pieces(self, pieces: list[str]) -> Iterator[bytes]:
-        """Ids of pieces without a space, each with one before it: of many at once, as only a piece's
-        first id begins with a space."""
+    def _pieces(self, pieces: list[str], first: np.ndarray) -> Iterator[bytes]:
+        """Ids of pieces that each begin with a space, or each with a newline: of many at once, as only
+        a piece's first id begins so."""
         for at in range(0, len(pieces), 1000):
             part = pieces[at : at + 1000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [*np.flatnonzero(first[ids]).tolist(), len(ids)]
             if len(cuts) != len(part) + 1:
-                yield from self._library([" " + p for p in part])
+                yield from self._library(part)
                 continue
             raw = ids.tobytes()
             yield from (raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:]))  # noqa: B905
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def _known(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of each distinct piece after a space (one that begins with a newline: as it is); None
+        for those with other white space at an end."""
         young, old = self.young, self.old
-        pieces = [None if "<|" in t else t.split(" ") for t in texts]
-        heads = [ps[0] if ps else "" for ps in pieces]
-        for ps in pieces:
-            if ps:
-                ps[0] = "\0"
-        young["\0"] = b""
-        missing, marked = set(), []
-        for p in set().union(*filter(None, pieces)).difference(young):
+        out = list(map(young.get, pieces))
+        marked: list[tuple[str, str, str]] = []
+        fresh: set[str] = set()
+        asked = [k for k, ids in enumerate(out) if ids is None]
+        for k in asked:
+            p = pieces[k]
             if p in old:
                 young[p] = old[p]
-            elif p and not p[0].isspace() and not p[-1].isspace():
-                if p[-1] in self.marks and p[:-1].isalpha():  # letters and a mark are two pre-tokens
-                    marked.append(p)
-                    if p[:-1] not in young:
-                        missing.add(p[:-1])
+            elif p and not p[-1].isspace() and (p[0] == "\n" or not p[0].isspace()):
+                word = p.rstrip(MARKS)
+                if len(word) < len(p) and word.isalpha() and (word.isascii() or max(word) < "\u0530"):
+                    tail = " " + p[len(word) :]  # no piece has a space
+                    marked.append((p, word, tail))
+                    for q in (word, tail):
+                        if q not in young:
+                            if q in old:
+                                young[q] = old[q]
+                            else:
+                                fresh.add(q)
                 else:
-                    missing.add(p)
-        missing = list(missing)
-        young.update(zip(missing, self._pieces(missing), strict=True))
-        young.update((p, young[p[:-1]] + self.marks[p[-1]]) for p in marked)
-        get = young.__getitem__
-        out: list[bytes | None] = []
-        for ps, head, first in zip(pieces, heads, self._library(heads), strict=True):
-            try:
-                out.append(None if ps is None or head and len(ps) > 1 and head[-1].isspace() else first + b"".join(map(get, ps)))
-            except KeyError:  # white space beside a space
-                out.append(None)
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        for p in [*missing, *marked]:
-            if len(p) > 64:
-                del young[p]
+                    fresh.add(p)
+        tails, lines, runs, words = [], [], [], []
+        for q in fresh:
+            if q[0] == " ":
+                tails.append(q)
+            elif q[0] != "\n":
+                words.append(q)
+            elif "\n" in q[1:]:
+                runs.append(q)
+            else:
+                lines.append(q)
+        young.update(zip(tails, self._library([q[1:] for q in tails]), strict=True))
+        young.update(zip(runs, self._library(runs), strict=True))
+        young.update(zip(lines, self._pieces(lines, self.breaks), strict=True))
+        young.update(zip(words, self._pieces([" " + q for q in words], self.opens), strict=True))
+        for p, word, tail in marked:
+            young[p] = young[word] + young[tail]
+        for k in asked:
+            out[k] = young.get(pieces[k])
+        for q in (*fresh, *(p for p, _, _ in marked)):
+            if len(q) > 64:
+                del young[q]
         if len(young) >= CACHE // 2:
             self.old, self.young = young, {}
         return out
 
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; a null is empty."""
+        column = column.fill_null("")
+        for lo, hi in slices(pc.binary_length(column).to_numpy(zero_copy_only=False), SLICE):
+            yield from self._slice(column.slice(lo, hi - lo))
+
+    def _slice(self, column: pa.Array) -> Iterator[np.ndarray]:
+        # A newline begins a piece as a space does, unless it follows one; where it stands beside a
+        # space, an empty piece or one that ends in white space comes about, and tells.
+        spaced = pc.replace_substring(column, "\n", " \n")
+        for _ in range(2):
+            spaced = pc.replace_substring(spaced, "\n \n", "\n\n")
+        split = pc.split_pattern(spaced, " ")
+        at = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))
+        coded = split.flatten().dictionary_encode()
+        pieces, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        # A text's first piece has no space before it, so it is an entry of its own behind the others.
+        first = at[:-1]
+        heads = [pieces[c] for c in code[first].tolist()]
+        code[first] = len(pieces) + np.arange(len(heads))
+        known = self._known(pieces)
+        bad = np.zeros(len(pieces) + len(heads), bool)
+        bad[: len(pieces)] = [ids is None for ids in known]
+        whole = np.logical_or.reduceat(bad[code], first) | pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)
+        whole |= np.array([h[-1:].isspace() for h in heads]) & (np.diff(at) > 1)
+        # A text that begins with a newline has an empty first piece, not told from one with a space.
+        whole |= pc.starts_with(column, "\n").to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(whole).tolist():
+            heads[i] = column[i].as_py()
+        table = [ids or b"" for ids in known] + self._library(heads)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat, begin = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
+        for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):  # noqa: B905
+            yield self._gather(flat, begin, sizes, code[a : a + 1] if whole[i] else code[a:b])
+
+    @staticmethod
+    def _gather(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> np.ndarray:
+        size = sizes[code]
+        ends = np.cumsum(size)
+        return flat[np.repeat(begin[code] - (ends - size), size) + np.arange(ends[-1])]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -316,7 +371,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, ids, n = None, None, 0, 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
             if out is None:
                 enc = encoder(vocabulary)
@@ -326,12 +381,9 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int) ->
                 path = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}.tls8b"
                 out = fs.open_output_stream(path)
                 w = Writer(out)
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for doc, got in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
-                    w.add(doc, np.frombuffer(got + end, "<u4"))
-                    ids, n = ids + len(got) // 4 + 1, n + 1
+            for doc, got in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
+                w.add(doc, np.append(got, end))
+                ids, n = ids + len(got) + 1, n + 1
         if out is not None:
             w.close()
             out.close()
