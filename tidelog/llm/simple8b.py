@@ -41,7 +41,7 @@ MAGIC, BLOCK, GROUP, PADDING = b"TLS8B\0\0\1", 1024, 256, 60
 LAYOUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 FOOTER = struct.Struct("<qqqq")
 #: Remembered pieces of text (a bound on memory only).
-CACHE = 800_000
+CACHE = 1_200_000
 #: Marks that are one pre-token behind letters; bytes of texts encoded at a time, a longer text alone.
 MARKS, SLICE = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 1 << 23
 
@@ -64,7 +64,7 @@ def _steps(x: np.ndarray) -> np.ndarray:
         count, bits = LAYOUTS[sel - 1]
         if count <= 5:
             fits = _below(most[count][:, :n], bits)
-            best[fits] = sel
+            np.putmask(best, fits, sel)
             if count == 5:
                 row, col = np.nonzero(fits)
             continue
@@ -83,7 +83,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    kind = np.uint32 if ids.dtype.itemsize <= 4 else np.uint64
+    kind = np.min_scalar_type(max(1 << 15, int(ids.max())))  # narrow ids are quicker to look through
     x = np.zeros((blocks, BLOCK + PADDING), kind)
     flat = np.zeros(blocks * BLOCK, kind)
     flat[:n] = ids
