@@ -89,6 +89,20 @@ def test_token_files_equal_library(docs, source, empty):
     assert simple8b.token_files(empty, BYTE, 2).count() == 0
 
 
+@pytest.mark.parametrize("slice_bytes", [1, 50, 1 << 20])
+def test_piece_memory_equals_library(slice_bytes, monkeypatch):
+    """Random joins of words, marks, white space of all kinds and special strings, a small memory."""
+    monkeypatch.setattr(simple8b, "SLICE", slice_bytes)
+    monkeypatch.setattr(simple8b, "CACHE", 2000)
+    bits = ["a", "the", "Que", "é", "ß", " ", " ", " ", "\n", "\n\n", "\t", "\r\n", "'s", "'", ".", ",", "!!", "%%%", "1", "42", "<|endoftext|>", "<|", "\0", "\xa0", "日本", "🙂", "\u0301", "ʰ", "_", "[", "\\", "  ", " \n", "\n ", "word" * 20, "\x1c", "\x85", "²", "\u200b"]
+    r, library, enc = random.Random(slice_bytes), Tokenizer.from_file(BYTE), simple8b.Encoder(BYTE)
+    for _ in range(60):
+        texts = [None, *("".join(r.choices(bits, k=r.choice([0, 1, 2, 3, 5, 8, 20, 60]))) for _ in range(40))]
+        got = [ids.tolist() for ids in enc.encode(pa.array(texts, pa.string()))]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(enc.encode(pa.array([], pa.string()))) == []
+
+
 def test_fingerprints(docs, source, empty):
     order = sorted(source, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] is not None, x[1] or ""))
     want = []
