@@ -262,8 +262,11 @@ def entropy(text):
     return max((-sum(v / 20 * math.log2(v / 20) for v in Counter(text[i : i + 20]).values()) for i in range(len(text) - 19)), default=0)
 
 
+BASE = [(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), (r"AKIA[A-Z0-9]+", 0, 16), (r"[0-9a-f]+", 0, 32)]
+
+
 def brute_spans(text):
-    out = [(m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(secret_scan.SHAPES) for m in re.finditer(p, text) if len(m[g]) >= least]
+    out = [(m.start(), k, m.end()) for k, (p, g, least) in enumerate(BASE) for m in re.finditer(p, text) if len(m[g]) >= least]
     for m in re.finditer(secret_scan.CANDIDATE, text):
         kind = next(k for k, (_, p, _) in enumerate(secret_scan.CLASSES) if re.search(p, m[0]))
         if not re.search(secret_scan.ALLOWED, m[0]) and entropy(m[0]) >= secret_scan.CLASSES[kind][2]:
@@ -291,6 +294,18 @@ def test_secrets_equal_brute_force(docs, source, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_short_runs_hide_no_secret(spark):
+    r = random.Random(5)
+    bits = ["AKIA", "A", "Z9", "AKIAAKIA", "a0f", "0123abcd" * 4, "deadbeef", "G", " ", "token=", "secret: ", "pass", "word=", "abcdefg", ".", "é"]
+    rows = [(k, "".join(r.choice(bits) for _ in range(r.randint(0, 40)))) for k in range(400)]
+    rows.append((400, "a word of faces " * 40_000 + "0123456789abcdef" * 2))  # as many short runs as a very long text has
+    got = {x["doc_id"]: (x["n_assign"], x["n_access"], x["n_hex"], x["spans"]) for x in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        spans = brute_spans(t)
+        told = ",".join(f"{secret_scan.KINDS[kind]}:{a}:{b}" for a, kind, b in spans)
+        assert got[k] == (*[sum(kind == j for _, kind, _ in spans) for j in range(3)], told)
+
+
 def test_pipeline_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     net = byte_cnn.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))

@@ -22,11 +22,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Shapes: kind, expression, group that counts, its least length (fixed values).
+#: Shapes: kind, expression, group that counts, its least length (fixed values). Access and hex runs that
+#: are too short are left out by the expression itself, which finds the same long ones, as a run that
+#: fails holds no other match; a short value after assign may hold the next key, so it is dropped later.
 SHAPES = [
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    ("access", r"AKIA[A-Z0-9]+", 0, 16),
-    ("hex", r"[0-9a-f]+", 0, 32),
+    ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
+    ("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
 #: Cheap tests that a text with a match passes.
 MAYBE = {"assign": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", "access": r"AKIA", "hex": r"[0-9a-f]{32}"}
