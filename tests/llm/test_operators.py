@@ -34,7 +34,7 @@ def docs(spark):
     odd = spark.createDataFrame(ODD, "doc_id long, text string")
     d = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(odd)
     # Columns that operators use inside must not clash.
-    return d.withColumns({c: F.lit("x") for c in ("node", "score", "bands", "start", "part", "key", "n_tokens", "parts", "__spans")}).cache()
+    return d.withColumns({c: F.lit("x") for c in ("node", "score", "bands", "start", "part", "key", "n_tokens", "parts", "size", "__spans", "__mine", "__node", "__text", "___p_hex")}).cache()
 
 
 @pytest.fixture(scope="module")
@@ -290,7 +290,8 @@ def test_secrets_equal_brute_force(docs, source, empty):
         spans = brute_spans(text or "")
         want.append((doc, *[sum(k == j for _, k, _ in spans) for j in range(3)], hashlib.sha256(told(s for s in spans if s[1] < 3).encode()).hexdigest(), told(spans)))
     assert crc_rows(tuple(r) for r in secret_scan.scan(docs).collect()) == crc_rows(want)
-    assert crc_rows((r["doc_id"], r["text"]) for r in secret_scan.redact(docs.drop("__spans")).collect()) == crc_rows((d, t if t is None else redacted(t)) for d, t in source)
+    assert crc_rows((r["doc_id"], r["text"]) for r in secret_scan.redact(docs).collect()) == crc_rows((d, t if t is None else redacted(t)) for d, t in source)
+    assert secret_scan.redact(docs).columns == docs.columns and secret_scan.redact(docs).where("__spans <> 'x' or ___p_hex <> 'x'").isEmpty()
     assert secret_scan.scan(empty).count() == 0
 
 

@@ -88,9 +88,12 @@ def utf8_columns(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def with_rows(batch: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
-    """The batch's columns and more after them."""
-    return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
+def apart(names: list[str]) -> str:
+    """A prefix for columns of one's own, that none of the names begins with."""
+    tag = "__"
+    while any(n.startswith(tag) for n in names):
+        tag += "_"
+    return tag
 
 
 def from_lists(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:

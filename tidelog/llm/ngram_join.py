@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm._shared import from_lists, ship, slices, stored, utf8_columns
+from tidelog.llm._shared import apart, from_lists, ship, slices, stored, utf8_columns
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -312,16 +312,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     columns are kept."""
     ship(docs.sparkSession)
     _, nodes = classes(docs)
-    keep = nodes.groupBy("class_node").agg(F.min(F.struct("rep", "node")).alias("best")).select(F.col("best.node").alias("__node"), F.col("best.rep.doc_id").alias("__id"), F.col("best.rep.text_hash").alias("__hash"))
     place, names = docs.columns.index("text"), docs.columns
+    tag = apart(names)
+    mine, text = f"{tag}mine", f"{tag}text"
+    keep = nodes.groupBy("class_node").agg(F.min(F.struct("rep", "node")).alias("best")).select(F.col("best.node").alias(f"{tag}node"), F.col("best.rep.doc_id").alias(f"{tag}id"), F.col("best.rep.text_hash").alias(f"{tag}hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, _ = nodes_of(batch.column(place), False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "__mine"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, mine])
 
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__mine", T.BinaryType())])).withColumn("__text", F.xxhash64("text"))
-    same: Column = (F.col("__mine") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mine, T.BinaryType())])).withColumn(text, F.xxhash64("text"))
+    same: Column = (F.col(mine) == F.col(f"{tag}node")) & F.col("doc_id").eqNullSafe(F.col(f"{tag}id")) & (F.col(text) == F.col(f"{tag}hash"))
     # The kept row may itself be repeated: of equal keys one row stays.
-    kept = marked.where("__mine is not null").join(keep, same, "left_semi").dropDuplicates(["__mine", "doc_id", "__text"])
-    return kept.select(*names).unionByName(marked.where("__mine is null").select(*names))
+    kept = marked.where(F.col(mine).isNotNull()).join(keep, same, "left_semi").dropDuplicates([mine, "doc_id", text])
+    return kept.select(*names).unionByName(marked.where(F.col(mine).isNull()).select(*names))

@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm._shared import apart
+
 #: Shapes: kind, expression, group that counts, its least length (fixed values). Access and hex runs that
 #: are too short are left out by the expression itself, which finds the same long ones, as a run that
 #: fails holds no other match; a short value after assign may hold the next key, so it is dropped later.
@@ -94,24 +96,24 @@ def _is_kind(kind: int):
 
 def with_spans(docs: DataFrame, name: str = "__spans") -> DataFrame:
     """All columns and the spans, ordered by place and kind: structs of start, kind, end, size."""
-    text = F.coalesce("text", F.lit(""))
+    text, tag = F.coalesce("text", F.lit("")), apart([*docs.columns, name])
     cols = {}
     for kind, pattern, group, _ in SHAPES:
         p, maybe = F.lit(pattern), text.rlike(MAYBE[kind])
-        cols[f"__p_{kind}"] = F.when(maybe, F.split(text, pattern, -1))
-        cols[f"__h_{kind}"] = F.when(maybe, F.regexp_extract_all(text, p, F.lit(0)))
-        cols[f"__g_{kind}"] = F.when(maybe, F.transform(F.regexp_extract_all(text, p, F.lit(group)), F.length))
+        cols[f"{tag}p_{kind}"] = F.when(maybe, F.split(text, pattern, -1))
+        cols[f"{tag}h_{kind}"] = F.when(maybe, F.regexp_extract_all(text, p, F.lit(0)))
+        cols[f"{tag}g_{kind}"] = F.when(maybe, F.transform(F.regexp_extract_all(text, p, F.lit(group)), F.length))
     maybe = text.rlike(CANDIDATE)
-    cols["__p_e"] = F.when(maybe, F.split(text, CANDIDATE, -1))
-    cols["__h_e"] = F.when(maybe, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    cols[f"{tag}p_e"] = F.when(maybe, F.split(text, CANDIDATE, -1))
+    cols[f"{tag}h_e"] = F.when(maybe, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     d = docs.withColumns(cols)
     # A candidate's kind takes the place of its size until the spans are made.
-    d = d.withColumn("__k_e", F.transform("__h_e", _kind))
+    d = d.withColumn(f"{tag}k_e", F.transform(f"{tag}h_e", _kind))
     none = F.array().cast(_SPAN)
-    found = [F.filter(F.coalesce(_spans(F.col(f"__p_{kind}"), F.col(f"__h_{kind}"), F.col(f"__g_{kind}"), k), none), _at_least(least)) for k, (kind, _, _, least) in enumerate(SHAPES)]
-    raw = F.filter(F.coalesce(_spans(F.col("__p_e"), F.col("__h_e"), F.col("__k_e"), -1), none), lambda s: s["size"] >= 0)
+    found = [F.filter(F.coalesce(_spans(F.col(f"{tag}p_{kind}"), F.col(f"{tag}h_{kind}"), F.col(f"{tag}g_{kind}"), k), none), _at_least(least)) for k, (kind, _, _, least) in enumerate(SHAPES)]
+    raw = F.filter(F.coalesce(_spans(F.col(f"{tag}p_e"), F.col(f"{tag}h_e"), F.col(f"{tag}k_e"), -1), none), lambda s: s["size"] >= 0)
     found.append(F.transform(raw, lambda s: F.struct(s["start"].alias("start"), s["size"].alias("kind"), s["end"].alias("end"), s["size"].alias("size"))))
-    return d.withColumn(name, F.array_sort(F.concat(*found))).drop(*cols, "__k_e")
+    return d.withColumn(name, F.array_sort(F.concat(*found))).drop(*cols, f"{tag}k_e")
 
 
 def _told(spans: Column) -> Column:
@@ -129,7 +131,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns, every span replaced by a mark, and n_chars (if there is one) set anew."""
-    d = with_spans(docs)
+    name = f"{apart(docs.columns)}spans"
+    d = with_spans(docs, name)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -137,6 +140,6 @@ def redact(docs: DataFrame) -> DataFrame:
         out = F.when(apart, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    folded = F.aggregate("__spans", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length(F.col("text")))))
-    d = d.withColumn("text", F.when(F.size("__spans") > 0, folded).otherwise(F.col("text"))).drop("__spans")
+    folded = F.aggregate(name, zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length(F.col("text")))))
+    d = d.withColumn("text", F.when(F.size(name) > 0, folded).otherwise(F.col("text"))).drop(name)
     return d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else d
