@@ -222,15 +222,16 @@ def near(source):
     return sets, root, links
 
 
-@pytest.mark.parametrize("block", [192, 2])
-def test_near_duplicates_equal_brute_force(docs, source, empty, block, monkeypatch):
+@pytest.mark.parametrize(("block", "block_bytes"), [(192, 64 << 20), (2, 64 << 20), (192, 5000)])
+def test_near_duplicates_equal_brute_force(docs, source, empty, block, block_bytes, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block_bytes)
     sets, root, links = near(source)
     least = {r: min((source[i][0] for i in range(len(source)) if root[i] == r and source[i][0] is not None), default=None) for r in set(root)}
     sizes = Counter(root)
     want = [(d, least[root[i]] if sizes[root[i]] > 1 else d, links[i], sizes[root[i]]) for i, (d, _) in enumerate(source)]
     assert crc_rows(tuple(r) for r in ngram_join.near_duplicates(docs).collect()) == crc_rows(want)
-    if block == 192:
+    if (block, block_bytes) == (192, 64 << 20):
         kept = ngram_join.keep_one(docs)
         assert kept.columns == docs.columns and kept.count() == len({root[i] for i, s in enumerate(sets) if s}) + sum(not s for s in sets)
         assert ngram_join.near_duplicates(empty).count() == 0

@@ -10,9 +10,9 @@ and what leaves a task is each node's number of links and a spanning tree of the
 
 Input columns ``doc_id`` and ``text``; others are ignored. Null, empty and wordless texts have no
 n-grams and link to nothing; repeated rows are copies of one node and link to each other; null ids
-are carried, and are the class id only where a class has no other; an empty table gives no rows. Very
-long texts are read in slices of words. Executors may be lost at any time: each step's table lies in
-the shared folder.
+are carried, and are the class id only where a class has no other; an empty table gives no rows. A
+text longer than a slice is read alone, and blocks of very long texts hold fewer of them. Executors may
+be lost at any time: each step's table lies in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +31,9 @@ from tidelog.llm._shared import apart, from_lists, ship, slices, stored, utf8_co
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
-#: Nodes of a block; two blocks at most meet in a task.
-BLOCK = 192
+#: Nodes of a block, and bytes of their texts on average (fewer nodes where texts are very long); two
+#: blocks at most meet in a task.
+BLOCK, BLOCK_BYTES = 192, 64 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -112,8 +114,8 @@ def signatures(h: np.ndarray, border: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("bands", pa.binary())])
-SKETCH = "doc_id long, text_hash long, node binary, bands binary"
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("bands", pa.binary()), ("size", pa.int64())])
+SKETCH = "doc_id long, text_hash long, node binary, bands binary, size long"
 
 
 def nodes_of(column: pa.Array, bands: bool) -> tuple[list[bytes | None], list[bytes | None]]:
@@ -132,12 +134,12 @@ def nodes_of(column: pa.Array, bands: bool) -> tuple[list[bytes | None], list[by
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, text_hash, node, bands."""
+    """Per row: doc_id, text_hash, node, bands, size (bytes of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, keys = nodes_of(batch.column(1), True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(keys, pa.binary())], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(keys, pa.binary()), pc.binary_length(batch.column(1)).cast(pa.int64())], schema=_SKETCH)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SKETCH)
 
@@ -173,8 +175,8 @@ def components(edges: DataFrame) -> DataFrame:
 _LINKS = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
 
 
-def _sets(texts: list[str]) -> list[np.ndarray]:
-    data, at = utf8_columns(pa.array(texts, pa.string()))
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    data, at = utf8_columns(texts)
     out = []
     for lo, hi in slices(np.diff(at), 1 << 20):
         h, border = shingles(data, at[lo : hi + 1])
@@ -244,7 +246,7 @@ def _verify(table: pa.Table) -> pa.Table:
     right = None if i == j else np.flatnonzero(part == j).tolist()
     if not left or right == []:
         return _LINKS.empty_table()
-    links, joined = verify_block(left, right, bands, _sets([texts[r].as_py() for r in keep]), rows)
+    links, joined = verify_block(left, right, bands, _sets(texts.take(pa.array(keep))), rows)
     out = [(node[k], None, int(n)) for k, n in enumerate(links) if n] + [(node[a], node[b], 0) for a, b in joined]
     return pa.Table.from_batches([from_lists(_LINKS, out)])
 
@@ -255,7 +257,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ship(docs.sparkSession)
     rows = stored(sketch(docs), "sketch")
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n_rows"), F.min(who).alias("rep"), F.min("bands").alias("bands")), "nodes")
+    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n_rows"), F.min(who).alias("rep"), F.min("bands").alias("bands"), F.max("size").alias("size")), "nodes")
     keys = _band_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("key", "least")
     edges = stored(keys.join(shared, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "gathered")
@@ -283,7 +285,8 @@ def _band_keys(nodes: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, nodes: DataFrame, gathered: DataFrame) -> DataFrame:
     """Verify all pairs with a common bucket: rows (node, null, links) and tree edges (node, root, 0)."""
-    sizes = gathered.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
+    held = gathered.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sizes = held.select("root", F.ceil(F.greatest(F.col("n") / F.lit(BLOCK), F.col("size") / F.lit(BLOCK_BYTES))).cast("int").alias("parts"))
     mine = gathered.join(sizes, "root").select("node", "root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     picked = nodes.join(mine, "node").select("node", "n_rows", "bands", "root", "parts", "part", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
