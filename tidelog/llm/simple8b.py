@@ -20,6 +20,7 @@ only if that attempt's row reaches the manifest, so lost executors leave nothing
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -243,6 +244,8 @@ class Encoder:
         self.library.no_padding()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        letters = "".join(c for c in map(chr, range(0x530)) if c.isalpha())
+        self.marked = f"^(?P<word>[{letters}]+)(?P<tail>[{re.escape(MARKS)}]+)$"
         vocabulary = self.library.get_vocab()
         self.opens = np.zeros(self.library.get_vocab_size(), bool)  # ids whose text begins with a space
         self.breaks = self.opens.copy()  # ids whose text begins with a newline
@@ -267,49 +270,27 @@ class Encoder:
             yield from (raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:]))  # noqa: B905
 
     def _known(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of each distinct piece after a space (one that begins with a newline: as it is); None
-        for those with other white space at an end."""
+        """Ids of each of some distinct pieces after a space (one that begins with a newline: as it is);
+        None for those with other white space at an end."""
         young, old = self.young, self.old
         out = list(map(young.get, pieces))
-        marked: list[tuple[str, str, str]] = []
-        fresh: set[str] = set()
         asked = [k for k, ids in enumerate(out) if ids is None]
+        lines, runs, words = [], [], []
         for k in asked:
             p = pieces[k]
             if p in old:
                 young[p] = old[p]
-            elif p and not p[-1].isspace() and (p[0] == "\n" or not p[0].isspace()):
-                word = p.rstrip(MARKS)
-                if len(word) < len(p) and word.isalpha() and (word.isascii() or max(word) < "\u0530"):
-                    tail = " " + p[len(word) :]  # no piece has a space
-                    marked.append((p, word, tail))
-                    for q in (word, tail):
-                        if q not in young:
-                            if q in old:
-                                young[q] = old[q]
-                            else:
-                                fresh.add(q)
-                else:
-                    fresh.add(p)
-        tails, lines, runs, words = [], [], [], []
-        for q in fresh:
-            if q[0] == " ":
-                tails.append(q)
-            elif q[0] != "\n":
-                words.append(q)
-            elif "\n" in q[1:]:
-                runs.append(q)
-            else:
-                lines.append(q)
-        young.update(zip(tails, self._library([q[1:] for q in tails]), strict=True))
+            elif p and not p[-1].isspace():
+                if p[0] == "\n":
+                    (runs if "\n" in p[1:] else lines).append(p)
+                elif not p[0].isspace():
+                    words.append(p)
         young.update(zip(runs, self._library(runs), strict=True))
         young.update(zip(lines, self._pieces(lines, self.breaks), strict=True))
         young.update(zip(words, self._pieces([" " + q for q in words], self.opens), strict=True))
-        for p, word, tail in marked:
-            young[p] = young[word] + young[tail]
         for k in asked:
             out[k] = young.get(pieces[k])
-        for q in (*fresh, *(p for p, _, _ in marked)):
+        for q in (*runs, *lines, *words):
             if len(q) > 64:
                 del young[q]
         if len(young) >= CACHE // 2:
@@ -331,31 +312,44 @@ class Encoder:
         split = pc.split_pattern(spaced, " ")
         at = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))
         coded = split.flatten().dictionary_encode()
-        pieces, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        pieces, code = coded.dictionary, coded.indices.to_numpy()
+        # Letters with marks behind them are looked up apart.
+        pair = pc.extract_regex(pieces, self.marked)
+        two = pc.is_valid(pair).to_numpy(zero_copy_only=False)
+        word = pc.coalesce(pc.struct_field(pair, "word"), pieces).dictionary_encode()
+        tail = pc.struct_field(pair, "tail").dictionary_encode()
+        known = self._known(word.dictionary.to_numpy(zero_copy_only=False).tolist())
+        tails = self._library(tail.dictionary.to_pylist())
+        main, behind = word.indices.to_numpy(), len(known) + tail.indices.fill_null(0).to_numpy()
         # A text's first piece has no space before it, so it is an entry of its own behind the others.
         first = at[:-1]
-        heads = [pieces[c] for c in code[first].tolist()]
-        code[first] = len(pieces) + np.arange(len(heads))
-        known = self._known(pieces)
-        bad = np.zeros(len(pieces) + len(heads), bool)
-        bad[: len(pieces)] = [ids is None for ids in known]
-        whole = np.logical_or.reduceat(bad[code], first) | pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)
+        heads = pieces.take(pa.array(code[first])).to_pylist()
+        second = two[code]
+        second[first] = False
+        place = np.arange(len(code)) + np.cumsum(second) - second
+        entry = np.empty(len(code) + int(second.sum()), np.int64)
+        entry[place] = main[code]
+        entry[place[second] + 1] = behind[code[second]]
+        entry[place[first]] = len(known) + len(tails) + np.arange(len(heads))
+        begins = np.append(place[first], len(entry))
+        bad = np.zeros(len(known) + len(tails) + len(heads), bool)
+        bad[: len(known)] = [ids is None for ids in known]
+        whole = np.logical_or.reduceat(bad[entry], begins[:-1]) | pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)
         whole |= np.array([h[-1:].isspace() for h in heads]) & (np.diff(at) > 1)
         # A text that begins with a newline has an empty first piece, not told from one with a space.
         whole |= pc.starts_with(column, "\n").to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(whole).tolist():
             heads[i] = column[i].as_py()
-        table = [ids or b"" for ids in known] + self._library(heads)
+        table = [ids or b"" for ids in known] + tails + self._library(heads)
         sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
         flat, begin = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
-        for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):  # noqa: B905
-            yield self._gather(flat, begin, sizes, code[a : a + 1] if whole[i] else code[a:b])
-
-    @staticmethod
-    def _gather(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> np.ndarray:
-        size = sizes[code]
+        size = sizes[entry]
+        for i in np.flatnonzero(whole).tolist():
+            size[begins[i] + 1 : begins[i + 1]] = 0  # the text is all in its first entry
         ends = np.cumsum(size)
-        return flat[np.repeat(begin[code] - (ends - size), size) + np.arange(ends[-1])]
+        ids = flat[np.repeat(begin[entry] - (ends - size), size) + np.arange(ends[-1])]
+        cuts = np.append(0, ends)[begins].tolist()
+        yield from (ids[i:j] for i, j in zip(cuts, cuts[1:]))  # noqa: B905
 
 
 @lru_cache(maxsize=2)
