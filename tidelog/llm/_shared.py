@@ -59,6 +59,22 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_resident: dict[object, object] = {}
+
+
+def resident(make=None, *args):
+    """make(*args), kept by the worker until another one is asked for: a worker holds the tables and
+    memories of one operator at a time. Without ``make``, what is kept goes."""
+    key = (make, args)
+    if key not in _resident:
+        _resident.clear()
+        pa.default_memory_pool().release_unused()
+        if make is None:
+            return None
+        _resident[key] = make(*args)
+    return _resident[key]
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The filesystem and path of a folder that executors and driver share (file, hdfs, s3, gs)."""
     return pafs.FileSystem.from_uri(uri if ":/" in uri else os.path.abspath(uri))

@@ -14,13 +14,12 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidelog.llm._shared import from_lists, ship
+from tidelog.llm._shared import from_lists, resident, ship
 
 #: Pre-token pattern of the byte-level vocabularies (a fixed value, public).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -235,9 +234,8 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     return most + max((len(a) + len(b) for a, b in merges), default=1)
 
 
-@lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
-    return Transducer(path)
+    return resident(Transducer, path)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

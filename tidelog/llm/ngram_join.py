@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm._shared import apart, from_lists, ship, slices, stored, utf8_columns
+from tidelog.llm._shared import apart, from_lists, resident, ship, slices, stored, utf8_columns
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -137,6 +137,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, text_hash, node, bands, size (bytes of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in batches:
             nodes, keys = nodes_of(batch.column(1), True)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(keys, pa.binary()), pc.binary_length(batch.column(1)).cast(pa.int64())], schema=_SKETCH)
@@ -178,7 +179,7 @@ _LINKS = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("links", pa.i
 def _sets(texts: pa.Array) -> list[np.ndarray]:
     data, at = utf8_columns(texts)
     out = []
-    for lo, hi in slices(np.diff(at), 1 << 20):
+    for lo, hi in slices(np.diff(at), 1 << 19):
         h, border = shingles(data, at[lo : hi + 1])
         out += [np.unique(h[border[i] : border[i + 1]]) for i in range(hi - lo)]
     return out
@@ -227,6 +228,7 @@ def verify_block(left: list[int], right: list[int] | None, bands: np.ndarray, se
 
 
 def _verify(table: pa.Table) -> pa.Table:
+    resident()
     node, part = table.column("node").to_pylist(), np.array(table.column("part").to_pylist())
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     texts = table.column("text").combine_chunks()
@@ -321,6 +323,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keep = nodes.groupBy("class_node").agg(F.min(F.struct("rep", "node")).alias("best")).select(F.col("best.node").alias(f"{tag}node"), F.col("best.rep.doc_id").alias(f"{tag}id"), F.col("best.rep.text_hash").alias(f"{tag}hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in batches:
             found, _ = nodes_of(batch.column(place), False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, mine])

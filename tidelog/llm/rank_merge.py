@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tidelog.llm._shared import ship, slices
+from tidelog.llm._shared import resident, ship, slices
 from tidelog.llm.bpe_stream import byte_alphabet
 
 #: Pre-token pattern of the lower-casing vocabulary (a fixed value, public).
@@ -137,9 +136,8 @@ class Counter:
         return out
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return resident(Counter, path)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:

@@ -25,7 +25,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm._shared import filesystem, from_lists, shared_folder, ship, slices, stored
+from tidelog.llm._shared import filesystem, from_lists, resident, shared_folder, ship, slices, stored
 
 #: Ids of a block; blocks packed or unpacked at a time; zeros that a block's last word may reach into.
 MAGIC, BLOCK, GROUP, PADDING = b"TLS8B\0\0\1", 1024, 256, 60
@@ -352,9 +351,8 @@ class Encoder:
         yield from (ids[i:j] for i, j in zip(cuts, cuts[1:]))  # noqa: B905
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return resident(Encoder, path)
 
 
 def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int) -> DataFrame:
