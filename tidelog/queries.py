@@ -107,9 +107,8 @@ def wal_replay(spark, sf_dir):
 
 
 def run_merge(spark, sf_dir):
-    e = _event_runs(spark, sf_dir)
-    pick = lambda i: e.where(F.col("run_id") == i).drop("run_id")
-    return runs.merge(pick(0), pick(1), pick(2))
+    """Every run of the log, however many there are."""
+    return runs.merge(_event_runs(spark, sf_dir).drop("run_id"))
 
 
 def run_split(spark, sf_dir):
