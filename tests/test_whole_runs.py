@@ -24,3 +24,21 @@ def test_merge_takes_every_run(spark, duck):
     want = duck.sql("SELECT user_id, max(event_id), arg_max(CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'INSERT' END, event_id), arg_max(value, event_id) FROM events GROUP BY 1").fetchall()
     got = rows(queries.run_merge(spark, DATA))
     assert got == sorted(want) and max(r[1] for r in got) >= 3000
+
+
+def order_runs(duck):
+    """Run i covers the keys from 1500 * i to 1500 * i + 2200: its id, first key, last key, entries."""
+    return duck.sql("""SELECT i, min(o_orderkey), max(o_orderkey), count(*) FROM orders, range(0, (SELECT max(o_orderkey) // 1500 + 1 FROM orders)) r(i)
+        WHERE o_orderkey BETWEEN 1500 * i AND 1500 * i + 2200 GROUP BY 1""").fetchall()
+
+
+def test_every_order_is_in_a_run(spark, duck):
+    held = queries._order_entries(spark, DATA)
+    assert held.select("key").distinct().count() == duck.sql("SELECT count(DISTINCT o_orderkey) FROM orders").fetchall()[0][0]
+    want = order_runs(duck)
+    assert rows(queries._order_runs(spark, DATA).select("run_id", "first", "last", "entries")) == sorted(want)
+
+
+def test_overlaps_of_all_orders(spark, duck):
+    want = order_runs(duck)
+    assert rows(queries.run_overlaps(spark, DATA)) == sorted((a[0], b[0]) for a in want for b in want if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2])

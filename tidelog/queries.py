@@ -18,6 +18,8 @@ from tidelog.store import Store
 from tidelog.streaming.ingest import ingest
 
 BITS = 1000
+#: Keys from the start of a run of orders to that of the next, and to its own end.
+STRIDE, REACH = 1500, 2200
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +35,18 @@ def _event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).withColumn("run_id", F.floor(F.col("seq") / 1000))
 
 
+def _order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order in each run that covers its key: run i has the keys from 1500 * i to 1500 * i + 2200, so
+    neighbours share 701 keys, of which the later run has the newer version."""
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
+    i = F.floor(F.col("key") / STRIDE)
+    covers = F.when((i > 0) & (F.col("key") <= STRIDE * (i - 1) + REACH), F.array(i - 1, i)).otherwise(F.array(i))
+    return o.withColumn("run_id", F.explode(covers)).select("run_id", "key", F.col("run_id").alias("seq"), F.lit("INSERT").alias("op"), "value")
+
+
 def _order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staggered runs: order keys below 11200, dealt by overlapping windows of 2201 keys."""
-    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
-    i = (F.col("key") % 7).alias("run_id")
-    o = o.select("key", "price", i).where((F.col("key") >= 1500 * F.col("run_id")) & (F.col("key") <= 1500 * F.col("run_id") + 2200))
-    return o.groupBy("run_id").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("entries"), (F.count("*") * 40).alias("bytes"))
+    """Staggered runs of all orders; their number grows with the largest key."""
+    return runs.bounds(_order_entries(spark, sf_dir), "run_id").withColumn("bytes", F.col("entries") * 40)
 
 
 def kv_live(spark, sf_dir):
