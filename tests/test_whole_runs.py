@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tidelog import queries
+from tidelog.operators import runs
 
 DATA = "/root/testdata/sf0.01"
 
@@ -42,3 +43,12 @@ def test_every_order_is_in_a_run(spark, duck):
 def test_overlaps_of_all_orders(spark, duck):
     want = order_runs(duck)
     assert rows(queries.run_overlaps(spark, DATA)) == sorted((a[0], b[0]) for a in want for b in want if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2])
+
+
+def test_locate_finds_all_order_keys(spark, duck):
+    keys = [k for (k,) in duck.sql("SELECT o_orderkey FROM orders").fetchall()]
+    want = order_runs(duck)
+    got = rows(queries.level_locate(spark, DATA))
+    assert got == sorted((k, i) for k in keys for i, first, last, _ in want if first <= k <= last) and {k for k, _ in got} == set(keys)
+    runs_of, asked = queries._order_runs(spark, DATA), spark.range(0, 20000, 37).toDF("key")
+    assert rows(runs.locate(runs_of, asked, 400).select("key", "run_id")) == rows(runs.locate(runs_of, asked).select("key", "run_id"))

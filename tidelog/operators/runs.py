@@ -62,6 +62,12 @@ def log_batches(log: DataFrame, size: int) -> DataFrame:
     return log.groupBy(F.floor(F.col("seq") / size).alias("batch")).agg(F.count("*").alias("entries")).withColumn("full", F.col("entries") == size)
 
 
-def locate(runs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The runs that may hold each key, by their bounds."""
-    return keys.join(runs, (F.col("first") <= F.col("key")) & (F.col("key") <= F.col("last")))
+def locate(runs: DataFrame, keys: DataFrame, width: int | None = None) -> DataFrame:
+    """The runs that may hold each key, by their bounds. With a ``width`` for integer keys, a key meets
+    only the runs of its own stretch of so many keys, not all."""
+    inside = (F.col("first") <= F.col("key")) & (F.col("key") <= F.col("last"))
+    if width is None:
+        return keys.join(runs, inside)
+    stretch = lambda c: F.floor(F.col(c) / width)
+    met = runs.withColumn("__stretch", F.explode(F.sequence(stretch("first"), stretch("last"))))
+    return keys.withColumn("__stretch", stretch("key")).join(met, "__stretch").where(inside).drop("__stretch")

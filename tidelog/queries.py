@@ -153,8 +153,9 @@ def level_trigger(spark, sf_dir):
 
 
 def level_locate(spark, sf_dir):
-    keys = _read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("key"))
-    return runs.locate(_order_runs(spark, sf_dir), keys).select("key", "run_id")
+    """The runs whose bounds hold each order key, of all orders."""
+    keys = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    return runs.locate(_order_runs(spark, sf_dir), keys, STRIDE).select("key", "run_id")
 
 
 def search_precedence(spark, sf_dir):
