@@ -52,3 +52,10 @@ def test_locate_finds_all_order_keys(spark, duck):
     assert got == sorted((k, i) for k in keys for i, first, last, _ in want if first <= k <= last) and {k for k, _ in got} == set(keys)
     runs_of, asked = queries._order_runs(spark, DATA), spark.range(0, 20000, 37).toDF("key")
     assert rows(runs.locate(runs_of, asked, 400).select("key", "run_id")) == rows(runs.locate(runs_of, asked).select("key", "run_id"))
+
+
+def test_moved_runs_meet_none_of_the_lower_level(spark, duck):
+    every = order_runs(duck)
+    upper, lower = [r for r in every if r[0] % 4], [r for r in every if r[0] % 4 == 0]
+    free = sorted((i, 1) for i, first, last, _ in upper if not any(first <= y[2] and y[1] <= last for y in lower))
+    assert rows(queries.trivial_move(spark, DATA)) == free and 0 < len(free) < len(upper)

@@ -180,9 +180,11 @@ def compact_lower(spark, sf_dir):
 
 
 def trivial_move(spark, sf_dir):
-    """Runs of the even remainders that no odd one overlaps may move down as they are."""
+    """Every fourth run makes up the lower level, the others the upper one. Those of the upper level that no
+    run of the lower one overlaps may move down as they are."""
     r = _order_runs(spark, sf_dir)
-    upper, lower = r.where("run_id % 2 = 0"), r.where("run_id in (1)")
+    lower = F.col("run_id") % 4 == 0
+    upper, lower = r.where(~lower), r.where(lower)
     return upper.join(runs.overlapping(upper, lower).select(F.col("a").alias("run_id")), "run_id", "left_anti").select("run_id", (F.lit(1)).alias("level"))
 
 
