@@ -1,7 +1,9 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in SQL functions.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, in lower case; blocks are
-lines. A block holds a template if at least ``CONTAINMENT`` of the template's distinct words stand in
+lines and, for notices wrapped over lines, windows of ``2 * REACH`` words that start at every
+``REACH``-th word of the text. Any ``REACH`` words in a row, as many as the longest template has, lie
+in one window, whatever line breaks and comment marks stand between them. A block holds a template if at least ``CONTAINMENT`` of the template's distinct words stand in
 it. All words that templates use are ordered by how many documents of the corpus have them, rarest
 first. In that order the join takes, of every block, its template words, and drops it for a template
 
@@ -45,6 +47,8 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
+#: Words of the longest template, with repeats.
+REACH = max(len(t.split()) for _, t in TEMPLATES)
 VOCABULARY = sorted({w for _, t in TEMPLATES for w in t.split()})
 
 
@@ -87,6 +91,16 @@ def _overlaps(template: list[str]):
     return lambda block: _overlap(block, template)
 
 
+def _blocks(order: list[str]) -> Column:
+    """The template words, in order, of each line and each window of words of a text."""
+    lines = F.transform(F.split("low", "\n"), lambda b: F.array_intersect(_literal(order), F.split(b, SEPARATOR)))
+    # Template words are never empty, so an empty part at either end takes the place of a word of the window
+    # only at the text's ends, where windows have room.
+    starts = F.sequence(F.lit(1), F.size("parts"), F.lit(REACH))
+    windows = F.transform(starts, lambda i: F.array_intersect(_literal(order), F.slice("parts", i, 2 * REACH)))
+    return F.concat(lines, windows)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the
     best containment found, 1 where a plain phrase stands)."""
@@ -102,7 +116,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.greatest(size - edge(F.lit(0)) - edge(size - 1), F.lit(0)).cast("long").alias("n_words"),
         F.when(F.array_contains("parts", "license"), F.filter("parts", lambda w: w != "")).alias("words"),
-        F.when(F.arrays_overlap("parts", _literal(prefixes)), F.transform(F.split("low", "\n"), lambda b: F.array_intersect(_literal(order), F.split(b, SEPARATOR)))).alias("blocks"),
+        F.when(F.arrays_overlap("parts", _literal(prefixes)), _blocks(order)).alias("blocks"),
     )
 
     def places(phrase: str) -> Column:
