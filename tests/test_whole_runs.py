@@ -59,3 +59,12 @@ def test_moved_runs_meet_none_of_the_lower_level(spark, duck):
     upper, lower = [r for r in every if r[0] % 4], [r for r in every if r[0] % 4 == 0]
     free = sorted((i, 1) for i, first, last, _ in upper if not any(first <= y[2] and y[1] <= last for y in lower))
     assert rows(queries.trivial_move(spark, DATA)) == free and 0 < len(free) < len(upper)
+
+
+def test_lower_compaction_merges_entries(spark, duck):
+    every = sorted(order_runs(duck), key=lambda r: (r[1], r[0]))
+    taken = [r for r in every if r[1] <= every[0][2] and every[0][1] <= r[2]]
+    keys = sorted({k for (k,) in duck.sql("SELECT o_orderkey FROM orders").fetchall() if any(a <= k <= b for _, a, b, _ in taken)})
+    assert len(taken) > 1 and len(keys) < sum(r[3] for r in taken)
+    want = [(n // 1000, *(lambda c: (c[0], c[-1], len(c)))(keys[n : n + 1000])) for n in range(0, len(keys), 1000)]
+    assert rows(queries.compact_lower(spark, DATA).select("run_no", "first", "last", "entries")) == want

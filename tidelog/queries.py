@@ -170,13 +170,15 @@ def compact_l0(spark, sf_dir):
 
 
 def compact_lower(spark, sf_dir):
-    """The oldest staggered run merges with those it overlaps; the others stay."""
+    """The oldest staggered run merges with those it overlaps, cut into runs of 1000 keys; the others stay."""
+    entries = _order_entries(spark, sf_dir)
     r = _order_runs(spark, sf_dir).withColumn("created_on", F.col("first"))
     first = runs.oldest(r).select("run_id")
     upper, lower = r.join(first, "run_id", "left_semi"), r.join(first, "run_id", "left_anti")
     met = runs.overlapping(upper, lower).select(F.col("b").alias("run_id"))
-    taken = upper.unionByName(lower.join(met, "run_id", "left_semi"))
-    return taken.agg(F.count("*").alias("runs"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("entries").alias("entries"))
+    taken = first.unionByName(met)
+    merged = runs.merge(entries.join(taken, "run_id", "left_semi").drop("run_id"))
+    return runs.bounds(runs.split(merged, 1000), "run_no")
 
 
 def trivial_move(spark, sf_dir):
