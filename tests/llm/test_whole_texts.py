@@ -4,7 +4,7 @@ import textwrap
 
 import pytest
 
-from tidelog.llm import license_join
+from tidelog.llm import license_join, secret_scan
 
 
 @pytest.mark.parametrize("mark", ["", "// ", " * ", "# "])
@@ -19,3 +19,19 @@ def test_wrapped_notices_are_found(spark, mark, before):
 def test_words_far_apart_are_no_notice(spark):
     texts = [(k, ("\n" + "x " * 40 + "\n").join(t.split())) for k, (_, t) in enumerate(license_join.TEMPLATES)]
     assert {(r["labels"], r["score"]) for r in license_join.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == {("", 0.0)}
+
+
+LETTERS, MIXED = "qZvWbKxRtYmJcPdLhGnF", "q7ZvW2bKx9RtY4mJcP1d"
+
+
+@pytest.mark.parametrize(
+    ("run", "found"),
+    [
+        (LETTERS, True), (MIXED, True), (f"sample_key={MIXED}", True), (f"example/{MIXED}", True), (f"dummy/{LETTERS}=", True), (f"key=sample{MIXED}", False),
+        ("internationalizationHandlerFactory", False), ("Main/Java/InternationalText", False), ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", False),
+    ],
+)
+def test_odd_secrets_are_found(spark, run, found):
+    docs = spark.createDataFrame([(1, f"see {run} here")], "doc_id long, text string")
+    assert (":4:" in secret_scan.scan(docs).first()["spans"]) == found
+    assert secret_scan.redact(docs).first()["text"] == ("see [REDACTED] here" if found else f"see {run} here")

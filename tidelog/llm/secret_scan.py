@@ -1,11 +1,12 @@
 """Secret scan: known shapes and sliding-window Shannon entropy, all in SQL functions.
 
 Known shapes are regular expressions with a least length. Besides, every run of at least ``WINDOW``
-characters that secrets are made of, with a digit among them, is a candidate: a window slides over it,
+characters that secrets are made of, with a digit or letters of both cases among them, is a candidate: a window slides over it,
 the count of each character goes up where one enters and down where one leaves, and the entropy follows
 from the change of the two counts. A candidate whose largest entropy reaches its character class's
 threshold is a span, unless the allow-list (identifiers with a known shape, examples, alphabets in
-order) suppresses it. Known shapes are never suppressed.
+order) suppresses it; examples and alphabets count only in the key part of a run. Letters of both cases
+are an identifier only if they look like words (fooBar, Foo_Bar, FOO), as a few random keys do too. Known shapes are never suppressed.
 
 Places are code points. Spark has no function for the places of all matches, so they are summed up
 from the lengths of the matches and of what lies between them.
@@ -36,10 +37,14 @@ SHAPES = [
 MAYBE = {"assign": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", "access": r"AKIA", "hex": r"[0-9a-f]{32}"}
 WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*[0-9])|(?=[a-z+/_=-]*[A-Z])(?=[A-Z+/_=-]*[a-z]))[A-Za-z0-9+/_=-]{20,}"
 #: Character classes, the first that a candidate belongs to, and the bits from which it is a secret.
 CLASSES = [("entropy-hex", r"^[0-9a-fA-F]+$", 3.0), ("entropy-alnum", r"^[A-Za-z0-9]+$", 3.6), ("entropy-base64", r"^[A-Za-z0-9+/_=-]+$", 3.8)]
-ALLOWED = r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|dummy|sample|0123456789|abcdefghij|^[0-9/_=-]+$|^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]{0,4}$"
+#: Whole runs with a known shape, and what marks an example or an alphabet.
+_UNLIKE_WORDS = r"[a-z][A-Z](?![a-z])|[A-Z]{2}[a-z]|[A-Z][a-z][A-Z]"
+SHAPED = rf"^[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$|^[0-9/_=-]+$|^(?!.*(?:{_UNLIKE_WORDS}))[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{{0,4}}$"
+MARKED = r"(?i:example|dummy|sample|0123456789|abcdefghij)"
+ALLOWED = f"{SHAPED}|{MARKED}"
 KINDS = [*(k for k, *_ in SHAPES), *(k for k, *_ in CLASSES)]
 MARK = "[REDACTED]"
 _SPAN = "array<struct<start:int,kind:int,end:int,size:int>>"
@@ -78,9 +83,20 @@ def largest_entropy(text: Column) -> Column:
     return F.aggregate(chars, zero, step)["best"]
 
 
+def _allowed(text: Column) -> Column:
+    """Whether the allow-list suppresses a run: as a whole by its shape, or by a mark in its key part. That is
+    what follows the last = but padding and, of it, the parts between slashes as long as a window or, if
+    there is none, the longest; each of these must be marked."""
+    value = F.regexp_extract(text, "([^=]*)=*$", 1)
+    pieces = F.split(value, "/")
+    most = F.least(F.array_max(F.transform(pieces, F.length)), F.lit(WINDOW))
+    marked = F.forall(F.filter(pieces, lambda p: F.length(p) >= most), lambda p: p.rlike(MARKED))
+    return text.rlike(SHAPED) | (text.rlike(MARKED) & marked)
+
+
 def _kind(text: Column) -> Column:
     """Number of the kind of a candidate's character class where its entropy reaches the threshold."""
-    out = F.when(text.rlike(ALLOWED), -1)
+    out = F.when(_allowed(text), -1)
     for k, (_, pattern, bits) in enumerate(CLASSES):
         out = out.when(text.rlike(pattern), F.when(largest_entropy(text) >= bits, len(SHAPES) + k).otherwise(-1))
     return out.otherwise(-1)
