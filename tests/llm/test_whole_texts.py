@@ -4,7 +4,7 @@ import textwrap
 
 import pytest
 
-from tidelog.llm import license_join, secret_scan
+from tidelog.llm import license_join, qgram_filter, secret_scan
 
 
 @pytest.mark.parametrize("mark", ["", "// ", " * ", "# "])
@@ -35,3 +35,11 @@ def test_odd_secrets_are_found(spark, run, found):
     docs = spark.createDataFrame([(1, f"see {run} here")], "doc_id long, text string")
     assert (":4:" in secret_scan.scan(docs).first()["spans"]) == found
     assert secret_scan.redact(docs).first()["text"] == ("see [REDACTED] here" if found else f"see {run} here")
+
+
+@pytest.mark.parametrize("long", [[], [(3, "a long item of the benchmark that stands nowhere in the texts")]])
+def test_short_items_are_found(spark, long):
+    docs = spark.createDataFrame([(1, "x An  Answer, an\nanswer"), (2, "answe"), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " an ANSWER "), (2, "é"), (4, " "), *long], "item_id long, text string")
+    assert [tuple(r) for r in qgram_filter.leaks(docs, items).collect()] == [(1, 1, 2, 23, 2, 0)]
+    assert {r["doc_id"] for r in qgram_filter.without_leaks(docs, items).collect()} == {2, 3, 4}

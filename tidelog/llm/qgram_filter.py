@@ -11,7 +11,8 @@ in a band of diagonals. The lemma has no false dismissals, so the result is that
 pairs.
 
 Input columns ``doc_id`` and ``text``, ``item_id`` and ``text``; others are ignored. A null or empty
-text or item matches nothing, nor does an item of fewer than Q characters; repeated rows each give
+text or item matches nothing; an item of fewer than Q characters, too short for q-grams and for edits, is
+looked for as it stands after lower case and white space, at any place; repeated rows each give
 their rows; equal items are each reported; null ids are carried; with an empty benchmark or no
 documents, nothing matches. A task holds a slice of texts and the index of one block of items.
 """
@@ -68,6 +69,11 @@ def normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes[keep], at, place[keep]
 
 
+def told(codes: np.ndarray) -> str:
+    """Code points as a text."""
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def grams(codes: np.ndarray) -> np.ndarray:
     """Hash of the Q = 10 code points from each place on."""
     c = codes.astype(np.uint64) + np.uint64(1)
@@ -91,17 +97,24 @@ class Index:
     item: np.ndarray
     offset: np.ndarray
     table: np.ndarray
+    #: Items of fewer than Q characters: place in ids and the text to find.
+    short: list[tuple[int, str]]
 
     @staticmethod
     def of(items: list[tuple[int | None, str]]) -> Index | None:
-        ids, codes = [], []
+        ids, codes, tiny = [], [], []
         for i, text in items:
             c, _, _ = normal([text.strip()])
             if len(c) >= Q:
                 ids.append(i)
                 codes.append(c)
-        if not ids:
-            return None
+            elif len(c):
+                tiny.append((i, told(c)))
+        short = [(len(ids) + k, t) for k, (_, t) in enumerate(tiny)]
+        ids += [i for i, _ in tiny]
+        if not codes:
+            none = np.zeros(0, np.int64)
+            return Index(ids, codes, none, none, none, none, none, none, none, none, short) if short else None
         sizes = np.array([len(c) for c in codes])
         window = np.minimum(sizes, WINDOW)
         edits = np.minimum(window * EDITS // WINDOW, (window - Q) // Q)
@@ -114,9 +127,26 @@ class Index:
         unique, first = np.unique(g, return_index=True)
         table = np.zeros(1 << BITS, bool)
         table[(unique >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        return Index(ids, codes, window, edits, window - Q + 1 - edits * Q, unique, np.append(first, len(g)), item, offset, table)
+        return Index(ids, codes, window, edits, window - Q + 1 - edits * Q, unique, np.append(first, len(g)), item, offset, table, short)
 
     def leaks(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
+        """Leaks of all items, as of_long() tells them."""
+        rows = self.of_long(texts) if self.codes else []
+        return sorted([*rows, *self.of_short(texts)], key=lambda r: r[:2]) if self.short else rows
+
+    def of_short(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
+        codes, at, place = normal(texts)
+        for t in range(len(texts)):
+            text = told(codes[at[t] : at[t + 1]])
+            for i, item in self.short:
+                n, first, last = 0, -1, text.find(item)
+                while last >= 0:
+                    n, first, end = n + 1, last if n == 0 else first, last + len(item)
+                    last = text.find(item, last + 1)
+                if n:
+                    yield t, i, int(place[at[t] + first]), int(place[at[t] + end - 1]) + 1, n, 0
+
+    def of_long(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, start, end, windows, least edits) of every leak; places are code points of the
         text as given, the end exclusive, from the first to the last window that matches."""
         codes, at, place = normal(texts)
