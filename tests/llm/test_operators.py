@@ -127,6 +127,30 @@ def test_token_counts_equal_library(docs, source, empty):
     assert rank_merge.token_counts(empty, WORD).count() == 0
 
 
+@pytest.mark.parametrize("cache", [0, 3, 50])
+def test_rank_merge_small_memory(cache, monkeypatch):
+    """Many more words than the memory holds, over several batches, long ones among them."""
+    monkeypatch.setattr(rank_merge, "CACHE", cache)
+    monkeypatch.setattr(rank_merge, "SHORT", 6)
+    r, library, counter = random.Random(cache), Tokenizer.from_file(WORD), rank_merge.Counter(WORD)
+    words = ["".join(r.choices("abcdeé", k=r.randint(1, 9))) for _ in range(300)]
+    for _ in range(12):
+        texts = [" ".join(r.choices(words, k=r.randint(0, 40))).replace("e", r.choice("e!.")) for _ in range(25)]
+        assert counter.count(list(texts)) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert all(len(m) <= cache // 2 + 25 * 40 * 9 for m in (counter.pieces, counter.old, counter.words, counter.old_words))
+
+
+@pytest.mark.parametrize("cache", [8, 16, 200])
+def test_transducer_small_memory(cache, monkeypatch):
+    monkeypatch.setattr(bpe_stream, "CACHE", cache)
+    r, library, t = random.Random(cache), Tokenizer.from_file(BYTE), bpe_stream.Transducer(BYTE)
+    words = ["".join(r.choices("abcdeé1", k=r.randint(1, 9))) for _ in range(300)]
+    for _ in range(200):
+        x = " ".join(r.choices(words, k=r.randint(0, 60))).replace("e", r.choice("e!."))
+        assert list(memoryview(b"".join(t.encode(x))).cast("I")) == library.encode(x, add_special_tokens=False).ids
+        assert max(map(len, (t.known, t.old_known, t.runs, t.old_runs))) <= cache
+
+
 def test_rank_merge_random():
     r, library, counter = random.Random(1), Tokenizer.from_file(WORD), rank_merge.Counter(WORD)
     letters = ["a", "B", " ", "\n", "'s", "'RE", "é", "1", "²", "!", "==", "<|", "́", "İ", "ΑΣ", "🎉", "aaaaaaa", "hello"]

@@ -59,8 +59,11 @@ class Transducer:
         self.made = [self.ids[a + b] for a, b in merges]
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # Two generations of each memory: when one is full it takes the place of the older one.
         self.known: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
         self.mark_ids = {c: array("I", self.merge(c.encode())).tobytes() for c in MARKS}
 
     def merge(self, token: bytes) -> list[int]:
@@ -118,9 +121,9 @@ class Transducer:
         return array("I", got).tobytes()
 
     def _remembered(self, key: str) -> bytes:
-        got = self.token_ids(key)
-        if len(self.known) >= CACHE // 4:
-            self.known.clear()
+        got = self.old_known.get(key) or self.token_ids(key)
+        if len(self.known) >= CACHE // 8:
+            self.old_known, self.known = self.known, {}
         if len(key) <= 64:
             self.known[key] = got
         return got
@@ -197,10 +200,14 @@ class Transducer:
 
     def _run(self, run: str) -> bytes:
         """Ids of a run without spaces, with the space before it; remembered while there is room."""
-        x = self.token_ids(" " + run) if run.isalpha() else b"".join(self._span(" " + run))
+        x = self.runs.get(run)
+        if x is None:
+            x = self.old_runs.get(run)
+        if x is None:
+            x = self.token_ids(" " + run) if run.isalpha() else b"".join(self._span(" " + run))
         if len(run) <= 64:
-            if len(self.runs) >= CACHE:
-                self.runs.clear()
+            if len(self.runs) >= CACHE // 2:
+                self.old_runs, self.runs = self.runs, {}
             self.runs[run] = x
         return x
 

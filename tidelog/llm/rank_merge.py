@@ -6,7 +6,8 @@ leave, and what symbols survive are counted.
 
 Input columns ``doc_id`` and ``text``; others are ignored. A null or empty text has no bytes and no
 tokens; repeated rows each give a row; a null doc_id stays null; an empty table gives no rows. Memory
-is bounded by a slice of texts, one text, and the counts remembered by piece.
+is bounded by a slice of texts, one text, and the counts remembered by piece and word, whose number and
+length are bounded.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from tidelog.llm.bpe_stream import byte_alphabet
 
 #: Pre-token pattern of the lower-casing vocabulary (a fixed value, public).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Remembered pieces and words; symbols merged at a time (bounds on memory only).
-CACHE, FLAT = 500_000, 1 << 18
+#: Remembered pieces, and as many words; the longest that is remembered; symbols merged at a time (bounds
+#: on memory only).
+CACHE, SHORT, FLAT = 500_000, 64, 1 << 18
 NONE = np.int32(1 << 30)
 
 
@@ -48,9 +50,11 @@ class Counter:
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
         self.split = regex.compile(PATTERN)
+        # Two generations of each memory: when one is full it takes the place of the older one.
         self.pieces: dict[str, int] = {}
         self.old: dict[str, int] = {}
         self.words: dict[str, int] = {}
+        self.old_words: dict[str, int] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -96,21 +100,32 @@ class Counter:
                 rank[here[pair]] = self.ranks(sym[here[pair]], sym[here[pair] + 1])
         return counts
 
-    def _learn_words(self, words: list[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        raw = [w.encode() for w in words]
-        for lo, hi in slices(np.array([len(r) for r in raw]), FLAT):
-            self.words.update(zip(words[lo:hi], self.merge_counts(raw[lo:hi]).tolist(), strict=True))
+    def _word_counts(self, words: set[str]) -> dict[str, int]:
+        """Symbols of each of these words. What is returned is the caller's own, so that a memory that turns
+        over takes nothing from it."""
+        of, new = {}, []
+        for w in words:
+            n = self.words.get(w)
+            if n is None:
+                n = self.old_words.get(w)
+            if n is None:
+                new.append(w)
+            else:
+                of[w] = n
+        raw = [w.encode() for w in new]
+        for lo, hi in slices(np.array([len(r) for r in raw], np.int64), FLAT):
+            of.update(zip(new[lo:hi], self.merge_counts(raw[lo:hi]).tolist(), strict=True))
+        if len(self.words) > CACHE // 2:
+            self.old_words, self.words = self.words, {}
+        self.words.update((w, n) for w, n in of.items() if len(w) <= SHORT)
+        return of
 
     def _learn(self, pieces: list[str]) -> None:
         split = []
         for p in pieces:
             low = "".join(c.lower() for c in q) if "Σ" in (q := unicodedata.normalize("NFC", p)) else q.lower()
             split.append([low] if low.isalpha() else self.split.findall(low))
-        if new := [w for w in set().union(*split).difference(self.words)]:
-            self._learn_words(new)
-        of = self.words
+        of = self._word_counts(set().union(*split))
         self.pieces.update((p, sum([of[w] for w in ws])) for p, ws in zip(pieces, split, strict=True))
 
     def count(self, texts: list[str]) -> list[int]:
@@ -131,6 +146,9 @@ class Counter:
         self._learn(new)
         get = self.pieces.__getitem__
         out = [n + sum(map(get, ps)) for n, ps in zip(extra, split, strict=True)]
+        for p in new:
+            if len(p) > SHORT:
+                del self.pieces[p]
         if len(self.pieces) > CACHE // 2:
             self.old, self.pieces = self.pieces, {}
         return out
