@@ -47,35 +47,72 @@ MARKED = r"(?i:example|dummy|sample|0123456789|abcdefghij)"
 ALLOWED = f"{SHAPED}|{MARKED}"
 KINDS = [*(k for k, *_ in SHAPES), *(k for k, *_ in CLASSES)]
 MARK = "[REDACTED]"
-_SPAN = "array<struct<start:int,kind:int,end:int,size:int>>"
+_SPAN = "struct<start:int,kind:int,end:int,size:int>"
+#: Counts of a window's characters lie in 64-bit words, so many to a word, so many bits each.
+PER_WORD, COUNT_BITS = 12, 5
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chunks(rows: Column) -> tuple[Column, Column]:
+    """Where chunks of an array start, counted from 0, and how long they are: about as many as each has rows."""
+    size = F.ceil(F.sqrt(F.greatest(F.size(rows), F.lit(1)))).cast("int")
+    return F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1, size)).otherwise(F.array().cast("array<int>")), size
+
+
+def _running(rows: Column, emit, advance, kind: str) -> Column:
+    """emit(at, row) for each row, ``at`` going from 0 to advance(at, row) behind it. Rows are taken by chunks,
+    since an append copies its array: n rows cost n ** 1.5 copied references, not n ** 2."""
+
+    def chunk(acc: Column, mine: Column) -> Column:
+        zero = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        got = F.aggregate(mine, zero, lambda a, row: F.struct(advance(a["at"], row).alias("at"), F.array_append(a["out"], emit(a["at"], row)).alias("out")))
+        return _bound(got, lambda g: F.struct(g["at"].alias("at"), F.array_append(acc["out"], g["out"]).alias("out")))
+
+    def every(rows: Column) -> Column:
+        starts, size = _chunks(rows)
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(starts, zero, lambda acc, i: chunk(acc, F.slice(rows, i + 1, size)))["out"])
+
+    return _bound(rows, every)
 
 
 def _spans(pieces: Column, hits: Column, sizes: Column, kind: int) -> Column:
     """Places of matches, from what lies between them and how long they are."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(F.length(p).alias("gap"), F.length(h).alias("hit")))
+    rows = F.zip_with(lengths, sizes, lambda x, size: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), size.alias("size")))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(pieces, i))
-        end = start + F.length(F.get(hits, i))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(sizes, i).alias("size"))
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+    def emit(at: Column, x: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["hit"]).alias("end"), x["size"].alias("size"))
 
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step)["spans"])
+    return F.when(F.size(hits) > 0, _running(rows, emit, lambda at, x: at + x["gap"] + x["hit"], _SPAN))
 
 
 def largest_entropy(text: Column) -> Column:
     """The largest entropy, in bits, of WINDOW characters in a row, by incremental counts."""
     cost = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
+    words = -(-len(ALPHABET) // PER_WORD)
+    ones = F.array(*[F.lit(1 << COUNT_BITS * (k % PER_WORD)).cast("long") for k in range(len(ALPHABET))])
     chars = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     chars = F.filter(chars, lambda k: k >= 0)
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.array().cast("array<int>").alias("in"))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.array().cast("array<int>").alias("in"))
+
+    def count(n: Column, c: Column) -> Column:
+        shift = (c % PER_WORD * COUNT_BITS).cast("int")
+        word = F.get(n, F.floor(c / PER_WORD).cast("int"))
+        return F.call_function("shiftright", word, shift).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
 
     def step(acc: Column, c: Column) -> Column:
         full = F.size(acc["in"]) == WINDOW
         gone = F.when(full, F.get(acc["in"], F.lit(0))).otherwise(-1)
-        n_in, n_out = F.get(acc["n"], c), F.get(acc["n"], gone)
+        n_in, n_out = count(acc["n"], c), count(acc["n"], gone)
         total = acc["sum"] + F.when(gone == c, 0.0).otherwise(F.get(cost, n_in + 1) - F.get(cost, n_in) + F.when(full, F.get(cost, n_out - 1) - F.get(cost, n_out)).otherwise(0.0))
-        counts = F.transform(acc["n"], lambda v, k: v + F.when(k == c, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0))
+        up, down = F.floor(c / PER_WORD), F.when(full, F.floor(gone / PER_WORD)).otherwise(-1)
+        counts = F.transform(acc["n"], lambda v, k: v + F.when(k == up, F.get(ones, c)).otherwise(0) - F.when(k == down, F.get(ones, gone)).otherwise(0))
         held = F.array_append(F.when(full, F.slice(acc["in"], 2, WINDOW - 1)).otherwise(acc["in"]), c)
         bits = F.when(F.size(acc["in"]) >= WINDOW - 1, math.log2(WINDOW) - total / WINDOW).otherwise(0.0)
         return F.struct(counts.alias("n"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"), held.alias("in"))
@@ -125,7 +162,7 @@ def with_spans(docs: DataFrame, name: str = "__spans") -> DataFrame:
     d = docs.withColumns(cols)
     # A candidate's kind takes the place of its size until the spans are made.
     d = d.withColumn(f"{tag}k_e", F.transform(f"{tag}h_e", _kind))
-    none = F.array().cast(_SPAN)
+    none = F.array().cast(f"array<{_SPAN}>")
     found = [F.filter(F.coalesce(_spans(F.col(f"{tag}p_{kind}"), F.col(f"{tag}h_{kind}"), F.col(f"{tag}g_{kind}"), k), none), _at_least(least)) for k, (kind, _, _, least) in enumerate(SHAPES)]
     raw = F.filter(F.coalesce(_spans(F.col(f"{tag}p_e"), F.col(f"{tag}h_e"), F.col(f"{tag}k_e"), -1), none), lambda s: s["size"] >= 0)
     found.append(F.transform(raw, lambda s: F.struct(s["start"].alias("start"), s["size"].alias("kind"), s["end"].alias("end"), s["size"].alias("size"))))
@@ -149,13 +186,25 @@ def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns, every span replaced by a mark, and n_chars (if there is one) set anew."""
     name = f"{apart(docs.columns)}spans"
     d = with_spans(docs, name)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # What stays: from the end of all spans before to the start of one that they do not reach, and the rest.
+    emit = lambda at, s: F.when(s["start"] >= at, F.struct(at.alias("a"), s["start"].alias("b")))
+    between = F.array_compact(_running(F.col(name), emit, lambda at, s: F.greatest(at, s["end"]), "struct<a:int,b:int>"))
+    rest = F.struct(F.array_max(F.transform(name, lambda s: s["end"])).alias("a"), F.length("text").alias("b"))
+
+    def cut(stays: Column) -> Column:
+        """The pieces that stay, cut from chunks of the text, as a cut reads what it cuts from."""
+        starts, size = _chunks(stays)
+
+        def of_chunk(i: Column) -> Column:
+            def pieces(mine: Column) -> Column:
+                base = F.get(mine, F.lit(0))["a"]
+                part = F.substring(F.col("text"), base + 1, F.element_at(mine, -1)["b"] - base)
+                return _bound(part, lambda t: F.transform(mine, lambda s: F.substring(t, s["a"] - base + 1, s["b"] - s["a"])))
+
+            return _bound(F.slice(stays, i + 1, size), pieces)
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        out = F.when(apart, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        return F.array_join(F.flatten(F.transform(starts, of_chunk)), MARK)
 
-    folded = F.aggregate(name, zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length(F.col("text")))))
+    folded = _bound(F.array_append(between, rest), cut)
     d = d.withColumn("text", F.when(F.size(name) > 0, folded).otherwise(F.col("text"))).drop(name)
     return d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else d
