@@ -3,16 +3,20 @@
 Words are runs without ASCII white space, in ASCII lower case; an n-gram is five words in a row; a text
 of one to four words is one n-gram of all of them. Texts with equal n-gram sets are one node, however
 many rows have them. ``BANDS`` bands of ``ROWS`` minimum hashes send a pair of Jaccard 0.8 to a common
-bucket with probability 1 - (1 - 0.8**6)**32 = 0.99994. Bucket hashes are shuffled; nodes that share a
-bucket are gathered, and only they have their texts fetched; every pair with a common bucket is
-verified on its full n-gram sets. Large gatherings are dealt over blocks, each pair of blocks a task,
-and what leaves a task is each node's number of links and a spanning tree of them, never the pairs.
+bucket with probability 1 - (1 - 0.8**6)**32 = 0.99994. Bucket hashes are shuffled. A node's home is the
+largest of its buckets; a home with many nodes is split into blocks, small ones near one another share some;
+and two blocks meet in a task only where some bucket has nodes of both. There every pair with a common bucket is verified on its full n-gram
+sets, each pair once, as each node has one block. So unlike texts that a chain of chance collisions
+connects do not meet, and a hot bucket is dealt over pairs of its blocks. What leaves a task is each
+node's number of links and a path through each group of linked nodes, never the pairs; classes are
+components of these verified links. Texts travel, not their sets of n-grams: eight bytes a word are more
+than a compressed word.
 
 Input columns ``doc_id`` and ``text``; others are ignored. Null, empty and wordless texts have no
-n-grams and link to nothing; repeated rows are copies of one node and link to each other; null ids
-are carried, and are the class id only where a class has no other; an empty table gives no rows. A
-text longer than a slice is read alone, and blocks of very long texts hold fewer of them. Executors may
-be lost at any time: each step's table lies in the shared folder.
+n-grams and link to nothing; repeated rows are copies of one node and link to each other, and one of them
+travels; null ids are carried, and are the class id only where a class has no other; an empty table gives
+no rows. A text longer than a slice is read alone, and blocks of very long texts hold fewer of them.
+Executors may be lost at any time: each step's table lies in the shared folder.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from tidelog.llm._shared import apart, from_lists, resident, ship, slices, store
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
-#: Nodes of a block, and bytes of their texts on average (fewer nodes where texts are very long); two
+#: Nodes of a block, and bytes of their texts, on average (fewer nodes where texts are very long); two
 #: blocks at most meet in a task.
 BLOCK, BLOCK_BYTES = 192, 64 << 20
 
@@ -146,31 +150,36 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, root), the root a component's least node.
+    """Connected components of edges (a, b): rows (node, root), the root one of the component's nodes.
 
-    Each round gives a node the least of itself and its neighbours, then that one's own label; edges
-    are then drawn between labels, and those within one label go. So edges dwindle with every round,
-    and rounds grow with the logarithm of a component's width. Each round lies in the shared folder.
+    Each round orders nodes by a hash of its own and sends each to the first of itself and its neighbours;
+    edges are then drawn between where their ends went, and those within one place go. A chance order
+    shortens chains of any shape by a share every round, so rounds grow with the logarithm of a component's
+    width. Neighbours are reduced in part before they are shuffled, and the joins are of tables as they were
+    written, so partitions of a hub's edges can be split. Each round lies in the shared folder.
     """
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    found = None
-    while True:
-        # An edge's greater end sees the lesser one; the lesser end is its own label unless it has a lesser neighbour.
-        low = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("m"))
-        jump = low.select(F.col("node").alias("m"), F.col("m").alias("far"))
-        step = stored(low.join(jump, "m", "left").select("node", F.coalesce("far", "m").alias("root")), "labels")
+    edges = stored(_drawn(edges.select("a", "b")), "edges")
+    found, number = None, 0
+    while found is None or not edges.isEmpty():
+        number += 1
+        order = lambda c: F.struct(F.xxhash64(F.lit(number), c).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        first = both.groupBy("a").agg(F.min(order("b")).alias("m"))
+        step = stored(first.select(F.col("a").alias("node"), F.least("m", order("a"))["node"].alias("root")), "labels")
+        to = lambda of, at: step.select(F.col("node").alias(of), F.col("root").alias(at))  # noqa: B023, E731
         if found is None:
-            every = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-            found = every.join(step, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+            found = step
         else:
-            to = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            found = found.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        found = stored(found, "found")
-        ends = edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(step.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        drawn = ends.select(F.coalesce("ra", "a").alias("x"), F.col("rb").alias("y")).where("x <> y")
-        edges = stored(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
-            return found
+            # Only ends of edges have moved on; the others are at their root.
+            found = stored(found.join(to("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "found")
+        ends = stored(edges.join(to("a", "x"), "a").select("b", "x"), "ends").join(to("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = stored(_drawn(ends), "edges")
+    return found
+
+
+def _drawn(edges: DataFrame) -> DataFrame:
+    """Each edge once, without loops."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 _LINKS = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
@@ -187,7 +196,7 @@ def _sets(texts: pa.Array) -> list[np.ndarray]:
 
 def verify_block(left: list[int], right: list[int] | None, bands: np.ndarray, sets: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of the nodes in rows ``left`` with those in ``right`` (or among ``left``): each node's
-    number of linked rows and the linked pairs' spanning forest."""
+    number of linked rows, and a path through each group of linked nodes, so that no node is a hub."""
     links, tree = np.zeros(len(sets), np.int64), np.arange(len(sets))
 
     def root(x: int) -> int:
@@ -196,7 +205,6 @@ def verify_block(left: list[int], right: list[int] | None, bands: np.ndarray, se
             x = tree[x]
         return x
 
-    joined: list[tuple[int, int]] = []
     other = np.array(left if right is None else right)
     sizes = np.array([len(s) for s in sets])
     every = np.concatenate([sets[j] for j in other])
@@ -221,15 +229,20 @@ def verify_block(left: list[int], right: list[int] | None, bands: np.ndarray, se
             links[i] += rows[j]
             links[j] += rows[i]
             a, b = root(i), root(j)
-            if a != b:
-                tree[max(a, b)] = min(a, b)
-                joined.append((i, j))
-    return links, joined
+            tree[max(a, b)] = min(a, b)
+    last: dict[int, int] = {}
+    path: list[tuple[int, int]] = []
+    for i in np.flatnonzero(links).tolist():
+        r = root(i)
+        if r in last:
+            path.append((last[r], i))
+        last[r] = i
+    return links, path
 
 
 def _verify(table: pa.Table) -> pa.Table:
     resident()
-    node, part = table.column("node").to_pylist(), np.array(table.column("part").to_pylist())
+    node, block = table.column("node").to_pylist(), np.array(table.column("block").to_pylist())
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     texts = table.column("text").combine_chunks()
     # Rows that repeat a node, or whose text has another node (ids may repeat), go.
@@ -241,71 +254,88 @@ def _verify(table: pa.Table) -> pa.Table:
             keep.append(r)
     if len(keep) < 2:
         return _LINKS.empty_table()
-    node, part = [node[r] for r in keep], part[keep]
+    node, block = [node[r] for r in keep], block[keep]
     bands = np.stack([np.frombuffer(table.column("bands")[r].as_py(), "<u8") for r in keep])
     rows = np.array([table.column("n_rows")[r].as_py() for r in keep])
-    left = np.flatnonzero(part == i).tolist()
-    right = None if i == j else np.flatnonzero(part == j).tolist()
+    left = np.flatnonzero(block == i).tolist()
+    right = None if i == j else np.flatnonzero(block == j).tolist()
     if not left or right == []:
         return _LINKS.empty_table()
-    links, joined = verify_block(left, right, bands, _sets(texts.take(pa.array(keep))), rows)
-    out = [(node[k], None, int(n)) for k, n in enumerate(links) if n] + [(node[a], node[b], 0) for a, b in joined]
+    links, path = verify_block(left, right, bands, _sets(texts.take(pa.array(keep))), rows)
+    out = [(node[k], None, int(n)) for k, n in enumerate(links) if n] + [(node[a], node[b], 0) for a, b in path]
     return pa.Table.from_batches([from_lists(_LINKS, out)])
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sketch rows, nodes): nodes have node, class_node (the least node of the class),
+    """(sketch rows, nodes): nodes have node, class_node (one node of the class),
     n_links (other rows at the threshold, copies included), n_rows, rep (its least row: doc_id, text_hash)."""
     ship(docs.sparkSession)
     rows = stored(sketch(docs), "sketch")
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n_rows"), F.min(who).alias("rep"), F.min("bands").alias("bands"), F.max("size").alias("size")), "nodes")
     keys = _band_keys(nodes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("key", "least")
-    edges = stored(keys.join(shared, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "gathered")
-    if edges.isEmpty():
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    if shared.isEmpty():
         found = None
     else:
-        gathered = components(edges)
-        found = stored(_links(docs, nodes, gathered), "links")
+        found = stored(_links(docs, nodes, *_blocks(keys, shared)), "links")
     base = nodes.select("node", "n_rows", "rep")
     if found is None:
         full = base.select("node", F.col("node").alias("class_node"), (F.col("n_rows") - 1).alias("n_links"), "n_rows", "rep")
     else:
         links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
-        tree = found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
-        roots = components(tree).withColumnRenamed("root", "class_node")
+        roots = components(found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "class_node")
         full = base.join(links.join(roots, "node"), "node", "left").select("node", F.coalesce("class_node", "node").alias("class_node"), (F.col("n_rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "n_rows", "rep")
     return rows, stored(full, "classes")
 
 
 def _band_keys(nodes: DataFrame) -> DataFrame:
-    """(node, key): a row for each band. Keys hold their band, and are bytes as they came."""
+    """(node, size, key): a row for each band. Keys hold their band, and are bytes as they came."""
     places = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    return nodes.select("node", F.explode(F.transform(places, lambda b: F.substring(F.col("bands"), b * 8 + 1, F.lit(8)))).alias("key"))
-
-
-def _links(docs: DataFrame, nodes: DataFrame, gathered: DataFrame) -> DataFrame:
-    """Verify all pairs with a common bucket: rows (node, null, links) and tree edges (node, root, 0)."""
-    held = gathered.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    sizes = held.select("root", F.ceil(F.greatest(F.col("n") / F.lit(BLOCK), F.col("size") / F.lit(BLOCK_BYTES))).cast("int").alias("parts"))
-    mine = gathered.join(sizes, "root").select("node", "root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    picked = nodes.join(mine, "node").select("node", "n_rows", "bands", "root", "parts", "part", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return nodes.select("node", "size", F.explode(F.transform(places, lambda b: F.substring(F.col("bands"), b * 8 + 1, F.lit(8)))).alias("key"))
+
+
+def _blocks(keys: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of nodes (node, block), and which blocks meet (block, i, j): a row for each of two blocks i and j
+    with a common bucket, and for each block of several nodes by itself."""
+    member = keys.join(shared.select("key", "n"), "key")
+    # A node has as many keys as there are bands at most.
+    home = F.struct((-F.col("n")).alias("n"), "key")
+    of = stored(member.groupBy("node").agg(F.min(home).alias("home"), F.max("size").alias("size"), F.collect_list("key").alias("keys")), "homes")
+    # Small homes near one another are put together, by the largest home that a home's bucket reaches.
+    held = of.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    reach = of.select(F.explode("keys").alias("key"), "home").groupBy("key").agg(F.min("home").alias("near"))
+    size = F.greatest(F.col("n") / F.lit(BLOCK), F.col("bytes") / F.lit(BLOCK_BYTES))
+    near = held.select(F.col("home.key").alias("key"), "n", "bytes", (size >= 0.5).alias("large")).join(reach, "key")
+    near = stored(near.select("key", "n", "bytes", "large", F.when(F.col("large"), F.col("key")).otherwise(F.col("near.key")).alias("place")), "near")
+    parts = near.groupBy("place", "large").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("place", "large", F.ceil(size).cast("int").alias("parts"))
+    lots = stored(near.select("key", "place", "large").join(stored(parts, "parts"), ["place", "large"]), "lots")
+    part = F.pmod(F.when(F.col("large"), F.xxhash64("node")).otherwise(F.xxhash64("key")), F.col("parts"))
+    placed = stored(of.select("node", F.col("home.key").alias("key"), "keys").join(lots, "key").select("node", F.xxhash64("place", "large", part).alias("block"), "keys"), "placed")
+    there = stored(placed.select("block", F.explode("keys").alias("key")).distinct(), "there")
+    a, b = there.select("key", F.col("block").alias("i")), there.select("key", F.col("block").alias("j"))
+    met = stored(a.join(b, "key").where("i < j").select("i", "j").distinct(), "met")
+    alone = placed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.col("block").alias("i"), F.col("block").alias("j"))
+    return placed.select("node", "block"), met.select(F.explode(F.array("i", "j")).alias("block"), "i", "j").unionByName(alone)
+
+
+def _links(docs: DataFrame, nodes: DataFrame, placed: DataFrame, meets: DataFrame) -> DataFrame:
+    """Verify all pairs with a common bucket: rows (node, null, links) and path edges (node, root, 0)."""
+    picked = nodes.join(placed, "node").select("node", "n_rows", "bands", "block", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
+    # Of repeated rows one travels: they are reduced in part before they are shuffled.
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).groupBy("doc_id", "text_hash").agg(F.any_value("text").alias("text"))
     same = lambda a, b: a["text_hash"].eqNullSafe(b["text_hash"]) & a["doc_id"].eqNullSafe(b["doc_id"])
-    withtext = texts.alias("t").join(picked.alias("p"), same(texts, picked)).select("p.node", "p.n_rows", "p.bands", "p.root", "p.parts", "p.part", "t.text")
-    # Each block meets itself and every other block of its gathering in one task each.
-    pairs = withtext.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = pairs.select("node", "n_rows", "bands", "text", "part", "root", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
+    withtext = texts.alias("t").join(picked.alias("p"), same(texts, picked)).select("p.node", "p.n_rows", "p.bands", "p.block", "t.text")
+    dealt = withtext.join(meets, "block")
     # A few rows bring much work, so their size must not decide how many tasks there are.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(tasks, "root", "i", "j").groupBy("root", "i", "j").applyInArrow(_verify, "node binary, root binary, links long")
+    return dealt.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(_verify, "node binary, root binary, links long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, class_id, n_links (other rows at Jaccard 0.8 or more), class_rows."""
     rows, nodes = classes(docs)
-    summary = nodes.groupBy("class_node").agg(F.min("rep.doc_id").alias("class_id"), F.sum("n_rows").alias("class_rows"))
+    summary = stored(nodes.groupBy("class_node").agg(F.min("rep.doc_id").alias("class_id"), F.sum("n_rows").alias("class_rows")), "summary")
     slim = nodes.where("n_links > 0").join(summary, "class_node").select("node", "class_id", "n_links", "class_rows")
     return rows.select("doc_id", "node").join(slim, "node", "left").select(
         "doc_id", F.when(F.col("class_rows").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
