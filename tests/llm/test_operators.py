@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -203,7 +204,25 @@ def test_leaks_equal_brute_force(spark):
     assert qgram_filter.leaks(rows, items.where("false")).count() == 0
 
 
-def test_licenses_equal_brute_force(docs, source, empty):
+NOTICES = [
+    (910000, "Released under the MIT License, worK \u212a \u0130"), (910001, "released under the m\u0130t license"), (910002, "this worK is licensed under a creative commons attribution 4 0 international".replace("K", "\u212a")),
+    *((910010 + k, "\n".join(f" * {x}" for x in textwrap.wrap(t, 20 + k))) for k, (_, t) in enumerate(license_join.TEMPLATES)),
+    *((910100 + k, " word \n".join(t.split()[: 9 * len(t.split()) // 10 + k % 2])) for k, (_, t) in enumerate(license_join.TEMPLATES)),
+]
+
+
+def blocks(low):
+    """The words of each line and of each window, as the operator's docstring has them."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lines = [set(re.findall(word, x)) for x in low.split("\n")]
+    parts, n = re.split(license_join.SEPARATOR, low), license_join.reach(license_join.TEMPLATES)
+    return [*lines, *(set(parts[k : k + 2 * n]) for k in range(0, len(parts), n))]
+
+
+@pytest.mark.parametrize("chars", [0, 4_000_000])
+def test_licenses_equal_brute_force(spark, docs, source, empty, chars, monkeypatch):
+    monkeypatch.setattr(license_join, "BROADCAST_CHARS", chars)
+    docs, source = docs.select("doc_id", "text").unionByName(spark.createDataFrame(NOTICES, "doc_id long, text string")), source + NOTICES
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     want = []
     for doc, text in source:
@@ -217,13 +236,16 @@ def test_licenses_equal_brute_force(docs, source, empty):
         labels = set(base)
         for label, t in license_join.TEMPLATES:
             t = set(t.split())
-            for line in low.split("\n"):
-                if (n := len(t & set(word.findall(line)))) >= license_join.needed(sorted(t)):
+            for block in blocks(low):
+                if (n := len(t & block)) >= license_join.needed(sorted(t)):
                     labels.add(label)
                     best = max(best, n / len(t))
         want.append((doc, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if at else best))
     assert crc_rows(tuple(r) for r in license_join.scan(docs).collect()) == crc_rows(want)
     assert license_join.scan(empty).count() == 0
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().numberedTreeString().count("\n")
+    assert plan(license_join.scan(docs)) == plan(license_join.scan(docs, license_join.TEMPLATES * 20))
+    assert license_join.scan(docs, []).where("labels <> base_labels").isEmpty()
 
 
 def near(source):
