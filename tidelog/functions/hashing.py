@@ -40,6 +40,8 @@ def fnv1(key: Column) -> Column:
 
 def bloom_positions(key: Column, bits: int) -> Column:
     """The two bit positions of a key: the hash, and its upper half, modulo the number of bits."""
+    if bits <= 0:
+        raise ValueError("a filter needs bits")
     h = fnv1(key)
     upper = F.floor(h.cast("decimal(38,10)") / F.lit(str(1 << 32)).cast("decimal(20,0)")).cast(_D)
     return F.array(_low(h, bits).cast("long"), _low(upper, bits).cast("long"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.resolve import latest
+from tidelog.sources import files
 
 
 def bounds(entries: DataFrame, *run: str) -> DataFrame:
@@ -24,24 +25,21 @@ def merge(*logs: DataFrame) -> DataFrame:
 def split(entries: DataFrame, size: int) -> DataFrame:
     """Number entries of distinct keys in key order and cut them into runs of exactly ``size``.
 
-    The table is range-partitioned; each partition numbers its own rows, and partition counts (one row
-    a partition) give where its numbers start. No task sees all rows.
+    The table is range-partitioned and sorted once and written with each row's partition and place in it; the
+    partitions' counts, one row each, give where their numbers start. No task sees all rows, and they are
+    shuffled once.
     """
     spark = entries.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = entries.repartitionByRange(parts, "key").withColumn("__p", F.spark_partition_id())
-    edges = ranged.groupBy("__p").agg(F.min("key").alias("__from"), F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__from").rowsBetween(Window.unboundedPreceding, -1))
-    starts = [(r["__from"], r["before"] or 0) for r in edges.select("__from", before.alias("before")).collect()]
-    # The partitions' first keys, not their numbers, say which rows belong together: those hold in any
-    # later job, however its tasks are numbered.
-    ordered = sorted(starts)
-    schema = f"__k int, __from {entries.schema['key'].dataType.simpleString()}, __start long"
-    table = spark.createDataFrame([(k, f, s) for k, (f, s) in enumerate(ordered)], schema)
-    firsts = F.array(*[F.lit(f) for f, _ in ordered])
-    tagged = entries.withColumn("__k", F.size(F.filter(firsts, lambda f: f <= F.col("key"))) - 1)
-    numbered = tagged.withColumn("__r", F.row_number().over(Window.partitionBy("__k").orderBy("key")))
-    return numbered.join(F.broadcast(table.select("__k", "__start")), "__k").withColumn("run_no", F.floor((F.col("__r") + F.col("__start") - 1) / size).cast("long")).drop("__k", "__r", "__start")
+    folder = f"{files.scratch(spark)}/ranged"
+    # The id has the partition above bit 33 and the row's place in the partition below.
+    entries.repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("__at", F.monotonically_increasing_id()).write.parquet(folder)
+    ranged = spark.read.parquet(folder).withColumn("__p", F.shiftright("__at", 33))
+    counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__p", F.coalesce(before, F.lit(0)).alias("__start"))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__start")
+    return ranged.join(F.broadcast(starts), "__p").withColumn("run_no", F.floor(place / size).cast("long")).drop("__p", "__at", "__start")
 
 
 def overlapping(upper: DataFrame, lower: DataFrame, on: str = "run_id") -> DataFrame:
@@ -58,8 +56,10 @@ def oldest(runs: DataFrame) -> DataFrame:
 
 
 def log_batches(log: DataFrame, size: int) -> DataFrame:
-    """Batches of a log in which seq counts from 0 without gaps: batch, entries, full."""
-    return log.groupBy(F.floor(F.col("seq") / size).alias("batch")).agg(F.count("*").alias("entries")).withColumn("full", F.col("entries") == size)
+    """Batches of ``size`` entries of a log in the order of seq, whatever numbers are missing, the last one
+    possibly smaller: batch, entries, full."""
+    numbered = split(log.select(F.col("seq").alias("key")), size)
+    return numbered.groupBy(F.col("run_no").alias("batch")).agg(F.count("*").alias("entries")).withColumn("full", F.col("entries") == size)
 
 
 def locate(runs: DataFrame, keys: DataFrame, width: int | None = None) -> DataFrame:

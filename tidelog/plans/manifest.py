@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.schema import ADD, CLEAR, Options
+from tidelog.schema import ADD, CLEAR, REMOVE, STAGED, Options
 
 
 def replay(log: DataFrame) -> DataFrame:
@@ -34,3 +34,35 @@ def triggered(runs: DataFrame, options: Options) -> DataFrame:
 def search_order(candidates: DataFrame) -> DataFrame:
     """Of each key's versions in any runs (key, level, seq, ...), the level of the newest."""
     return candidates.groupBy("key").agg(F.max(F.struct("seq", (-F.col("level")).alias("up"))).alias("v")).select("key", (-F.col("v.up")).alias("level"), "v.seq")
+
+
+def named(name: str) -> list[tuple[str, int, dict]]:
+    """Entries that leave nothing of a batch but its name."""
+    return [(ADD, STAGED, {"run_id": name, "source": name}), (REMOVE, STAGED, {"run_id": name})]
+
+
+class State:
+    """Present runs and the names of all batches, folded entry by entry as versions of the log appear."""
+
+    def __init__(self) -> None:
+        self.version = 0
+        self.runs: dict[tuple[int, str], dict] = {}
+        self.names: set[str] = set()
+
+    def apply(self, version: int, entries: list[dict]) -> None:
+        for e in entries:
+            level, run = e["level"], e["run"] or {}
+            if e["op"] == CLEAR:
+                self.runs = {k: r for k, r in self.runs.items() if k[0] != level}
+            elif e["op"] == REMOVE:
+                self.runs.pop((level, run["run_id"]), None)
+            elif e["op"] == ADD:
+                self.runs[level, run["run_id"]] = run | {"level": level}
+            if run.get("source") is not None and level == STAGED:
+                self.names.add(run["source"])
+        self.version = version
+
+    def entries(self) -> list[tuple[str, int, dict | None]]:
+        """Entries that make this state of an empty one: names first, as batches that are gone."""
+        done = [e for n in sorted(self.names) for e in named(n)]
+        return done + [(ADD, r["level"], {k: v for k, v in r.items() if k != "level"}) for r in self.runs.values()]

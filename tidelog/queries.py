@@ -15,7 +15,7 @@ from tidelog.plans import manifest
 from tidelog.schema import Options
 from tidelog.sources import files
 from tidelog.store import Store
-from tidelog.streaming.ingest import ingest
+from tidelog.streaming.ingest import append_changes, ingest, keyed_changes, latest_view, newest_view
 
 BITS = 1000
 #: Keys from the start of a run of orders to that of the next, and to its own end.
@@ -216,17 +216,38 @@ def _as_told(live: DataFrame) -> DataFrame:
     return live.select(F.decode("key", "UTF-8").cast("long").alias("key"), F.round(F.decode("value", "UTF-8").cast("double"), 4).alias("value"))
 
 
+def bloom_words(spark, sf_dir):
+    return bloom.words(bloom.build(_text_keys(spark, sf_dir), BITS), BITS)
+
+
 def store_lifecycle(spark, sf_dir):
-    """Batches into a store, flushed, compacted to the second level, and read back live."""
+    """Batches into a store, flushed and compacted so that versions and tombstones lie on three levels and in a
+    staged batch, and read back live."""
     store = Store.open(spark, files.scratch(spark), Options(memtable_keys=1 << 40, run_entries=100_000, level0_bytes=1))
     log = _log(spark, sf_dir)
-    last = log.agg(F.max("seq")).first()[0]
-    for k in range(3):
-        part = log.where((F.col("seq") > last * k // 3 - (k == 0)) & (F.col("seq") <= last * (k + 1) // 3))
+    last = log.agg(F.max("seq")).first()[0] or 0
+    for k in range(4):
+        part = log.where((F.col("seq") > last * k // 4 - (k == 0)) & (F.col("seq") <= last * (k + 1) // 4))
         store.apply(_as_entries(part), f"load:{k}")
-        store.flush()
-    store.compact_level(0)
-    store.compact_level(1)
+        if k < 3:
+            store.flush()
+        # Of the first three, one goes to the third level and one to the second.
+        for level in range(2 - k):
+            store.compact_level(level)
+    return _as_told(store.live())
+
+
+def store_compaction(spark, sf_dir):
+    """The log into a store by eight batches, each flushed, and compacted until no level is triggered."""
+    store = Store.open(spark, files.scratch(spark), Options(memtable_keys=1, run_entries=1000, level0_bytes=4000, level_ratio=2))
+    log = _log(spark, sf_dir)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    for k in range(8):
+        store.apply(_as_entries(log.where((F.col("seq") > last * k // 8 - (k == 0)) & (F.col("seq") <= last * (k + 1) // 8))), f"load:{k}")
+        if k % 3 == 2:
+            store.compact()
+    store.compact()
+    store.close()
     return _as_told(store.live())
 
 
@@ -234,17 +255,36 @@ def stream_latest(spark, sf_dir):
     """The change log as a stream into a store, each micro-batch one idempotent batch."""
     folder = files.scratch(spark)
     store = Store.open(spark, f"{folder}/store")
+    ingest(_as_entries(_event_stream(spark, sf_dir)), store, f"{folder}/checkpoint").awaitTermination()
+    return _as_told(store.live())
+
+
+def _event_stream(spark, sf_dir):
     source = spark.readStream.schema(_read(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     op = F.when(F.col("event_type") == "error", "DELETE").otherwise("INSERT")
-    log = source.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), "value")
-    ingest(_as_entries(log), store, f"{folder}/checkpoint").awaitTermination()
-    return _as_told(store.live())
+    return source.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), "value")
+
+
+def stream_view(spark, sf_dir):
+    """The newest version of each key of the log as a stream, as the last micro-batch left it."""
+    folder = files.scratch(spark)
+    latest_view(_event_stream(spark, sf_dir), f"{folder}/views", f"{folder}/checkpoint").awaitTermination()
+    view = newest_view(spark, f"{folder}/views")
+    return (resolve.latest(_log(spark, sf_dir).where("false")) if view is None else view).select("key", "seq", "op", "value")
+
+
+def stream_state(spark, sf_dir):
+    """The newest of what a state for each key let through."""
+    folder = files.scratch(spark)
+    append_changes(keyed_changes(_event_stream(spark, sf_dir)), f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
+    return resolve.live(spark.read.schema("key long, seq long, op string, value double").parquet(f"{folder}/changes"))
 
 
 QUERIES = {f.__name__: f for f in (
     kv_live, kv_tombstones, kv_get, kv_multi_get, kv_as_of, kv_range_scan, kv_ordered_scan, kv_puts, kv_deletes, memtable_size, flush_trigger, flush_runs,
     wal_batches, wal_replay, run_merge, run_split, run_overlaps, run_oldest, manifest_replay, level_sizes, level_trigger, level_locate, search_precedence,
-    compact_l0, compact_lower, trivial_move, bloom_bits, bloom_probe, bloom_positions_of, store_lifecycle, stream_latest,
+    compact_l0, compact_lower, trivial_move, bloom_bits, bloom_words, bloom_probe, bloom_positions_of, store_lifecycle, store_compaction, stream_latest,
+    stream_view, stream_state,
 )}
 
 _LOG = "log AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'INSERT' END AS op, value, event_id // 1000 AS run_id FROM events)"
@@ -286,8 +326,12 @@ ORACLE = {
     "compact_lower": f"WITH {_RUNS}, u AS (SELECT * FROM runs ORDER BY first, run_id LIMIT 1), t AS (SELECT r.* FROM runs r, u WHERE r.first <= u.last AND u.first <= r.last) SELECT count(*) AS runs, min(first) AS first, max(last) AS last, sum(entries)::BIGINT AS entries FROM t",
     "trivial_move": f"WITH {_RUNS} SELECT x.run_id, 1 AS level FROM runs x WHERE x.run_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM runs y WHERE y.run_id = 1 AND x.first <= y.last AND y.first <= x.last)",
     "bloom_bits": f"WITH {_BLOOM} SELECT bit FROM bits",
+    "bloom_words": f"WITH {_BLOOM}, w AS (SELECT bit // 64 AS word, bit_or(1::UBIGINT << (bit % 64)::UBIGINT) AS v FROM bits GROUP BY 1) SELECT range AS word, CASE WHEN v >= 9223372036854775808 THEN (v::HUGEINT - 18446744073709551616)::BIGINT ELSE coalesce(v, 0)::BIGINT END AS value FROM range(0, 16) LEFT JOIN w ON word = range",
     "bloom_probe": f"WITH {_BLOOM}, q AS (SELECT s_name AS key FROM supplier UNION SELECT n_name FROM nation), p AS (SELECT key, {_FNV.format(x='key')} AS h FROM q) SELECT key, (h % 1000)::BIGINT IN (SELECT bit FROM bits) AND ((h // 4294967296) % 1000)::BIGINT IN (SELECT bit FROM bits) AS may_hold FROM p",
     "bloom_positions_of": f"WITH p AS (SELECT r_name, {_FNV.format(x='r_name')} AS h FROM region) SELECT r_name, (h % 1000)::BIGINT AS p1, ((h // 4294967296) % 1000)::BIGINT AS p2 FROM p",
     "store_lifecycle": _LIVE,
+    "store_compaction": _LIVE,
     "stream_latest": _LIVE,
+    "stream_view": f"WITH {_LOG}, {_LAST} SELECT * FROM last",
+    "stream_state": f"WITH {_LOG}, {_LAST} SELECT key, seq, value FROM last WHERE op = 'INSERT'",
 }

@@ -46,6 +46,7 @@ class Options:
     level0_bytes: int = 30_000_000_000
     level_ratio: int = 10  # each level holds so many times the one above
     bloom_fpp: float = 0.01
+    checkpoint_every: int = 64  # manifest versions that a reader goes through at most
 
     def max_bytes(self, level: int) -> int:
         return self.level0_bytes * self.level_ratio**level

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import time
 import uuid
@@ -14,9 +15,18 @@ from tidelog.schema import MANIFEST
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, else (tests) local."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tidelog')}"
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share, under spark.checkpoint.dir; it goes with the session.
+    Only a local session, which has one machine, may leave that unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"file://{tempfile.mkdtemp(prefix='tidelog')}"
+    path = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -66,6 +76,15 @@ def write_runs(entries: DataFrame, folder: str, parts: int, run_entries: int, fp
     return [{"run_id": uuid.uuid4().hex, "path": r["file_path"], "first": r["first"], "last": r["last"], "bytes": r["bytes"], "entries": r["entries"], "created_on": now, "source": source} for r in sorted(rows, key=lambda r: r["first"])]
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def manifest_log(spark: SparkSession, folder: str) -> DataFrame:
     """All manifest entries with their place in the log; whole files only ever appear."""
     if not names(spark, folder):
@@ -73,6 +92,11 @@ def manifest_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(folder)
 
 
+def entries(spark: SparkSession, path: str) -> list[dict]:
+    """The entries of one manifest version or checkpoint."""
+    return [json.loads(line) for line in read_text(spark, path).splitlines()]
+
+
 def commit(spark: SparkSession, folder: str, version: int, ops: list[tuple[str, int, dict | None]]) -> None:
     """Write one version: all its entries or none."""
     lines = [json.dumps({"version": version, "ordinal": k, "op": op, "level": level, "run": run}) for k, (op, level, run) in enumerate(ops)]

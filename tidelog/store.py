@@ -3,18 +3,21 @@
 A write becomes a batch at the staged level, visible and durable once its manifest version is there.
 A flush turns the staged batches into sorted level-0 runs, compaction moves runs down. Every change of
 the set of runs is one manifest version, created exclusively, after its data is written; replaced files
-stay until vacuum().
+stay until vacuum(). A store reads each version once; every so many versions one is followed by a
+checkpoint of the present runs, from which others start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import resolve
 from tidelog.plans import manifest
+from tidelog.plans.requests import LogApplyError, logged
 from tidelog.schema import ADD, CLEAR, DELETE, ENTRY, INSERT, REMOVE, STAGED, Options
 from tidelog.sources import files
 
@@ -22,16 +25,24 @@ from tidelog.sources import files
 BATCH = 1 << 40
 
 
+def _no_level(run: dict) -> dict:
+    return {k: v for k, v in run.items() if k != "level"}
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None):
         if not path:
             raise ValueError("a store needs a path")
         self.spark, self.path, self.options, self.closed = spark, path.rstrip("/"), options or Options(), False
+        self._state = manifest.State()
+        #: Called with the new level-0 runs of every flush, after it is committed.
+        self.flush_listeners: list[Callable[[list[dict]], None]] = []
 
     @staticmethod
     def open(spark: SparkSession, path: str, options: Options | None = None) -> Store:
         return Store(spark, path, options)
 
+    @logged
     def close(self) -> None:
         """Flush what is staged; the store takes no more writes."""
         self.flush()
@@ -43,21 +54,40 @@ class Store:
     def _manifest(self) -> str:
         return f"{self.path}/manifest"
 
+    @property
+    def _checkpoints(self) -> str:
+        return f"{self.path}/checkpoints"
+
+    def state(self) -> manifest.State:
+        """The state at the latest version; only versions not seen before are read."""
+        there = [int(n.split(".")[0]) for n in files.names(self.spark, self._manifest)]
+        if self._state.version + 1 not in there and (there and there[-1] > self._state.version or self._state.version == 0):
+            # A first look, or vacuum() took versions that were not read: start from the checkpoint.
+            self._state = manifest.State()
+            if saved := files.names(self.spark, self._checkpoints):
+                self._state.apply(int(saved[-1].split(".")[0]), files.entries(self.spark, f"{self._checkpoints}/{saved[-1]}"))
+        for version in there:
+            if version > self._state.version:
+                self._state.apply(version, files.entries(self.spark, f"{self._manifest}/{version:020d}.json"))
+        return self._state
+
     def version(self) -> int:
-        got = files.names(self.spark, self._manifest)
-        return int(got[-1].split(".")[0]) if got else 0
+        return self.state().version
 
     def log(self) -> DataFrame:
+        """Entries of the versions that vacuum() has left, for asking."""
         at = F.struct("version", "ordinal").alias("at")
         return files.manifest_log(self.spark, self._manifest).select(at, "op", "level", F.col("run.run_id").alias("run_id"), "run")
 
     def runs(self) -> list[dict]:
-        """Present runs; metadata, a few thousand rows at most."""
-        rows = manifest.replay(self.log()).orderBy("level", "at").collect()
-        return [r["run"].asDict() | {"level": r["level"]} for r in rows]
+        """Present runs: metadata, a few hundred bytes for each run of millions of entries."""
+        return list(self.state().runs.values())
 
     def _commit(self, ops: list[tuple[str, int, dict | None]]) -> None:
-        files.commit(self.spark, self._manifest, self.version() + 1, ops)
+        version = self.version() + 1
+        files.commit(self.spark, self._manifest, version, ops)
+        if version % self.options.checkpoint_every == 0:
+            files.commit(self.spark, self._checkpoints, version, self.state().entries())
 
     def entries(self, runs: Iterable[dict]) -> DataFrame:
         paths = [r["path"] for r in runs]
@@ -68,29 +98,54 @@ class Store:
     def _write(self, rows: DataFrame, op: str, source: str | None) -> None:
         if self.closed:
             raise ValueError("the store is closed")
-        if source is not None and not self.log().where((F.col("level") == STAGED) & (F.col("run.source") == source)).isEmpty():
+        state = self.state()
+        if source in state.names:
             return
-        base = (self.version() + 1) * BATCH
-        ordinal = F.col("ordinal").cast("long") if "ordinal" in rows.columns else F.lit(0)
+        base = (state.version + 1) * BATCH
+        ordinal = F.col("ordinal").cast("long") if "ordinal" in rows.columns else F.lit(0).cast("long")
+        checked = F.when((ordinal >= 0) & (ordinal < BATCH), ordinal).otherwise(F.raise_error(F.lit(f"an ordinal is not from 0 to {BATCH - 1}")))
         value = F.col("value").cast("binary") if op == INSERT else F.lit(b"")
-        kind = F.col("op") if "op" in rows.columns else F.lit(op)
+        kind = F.when(F.col("op").isin(INSERT, DELETE), F.col("op")).otherwise(F.raise_error(F.lit("an op is neither INSERT nor DELETE"))) if "op" in rows.columns else F.lit(op)
         key = F.when(F.col("key").isNull(), F.raise_error(F.lit("null key"))).otherwise(F.col("key").cast("binary"))
-        batch = rows.select(key.alias("key"), (ordinal + F.lit(base)).alias("seq"), kind.alias("op"), value.alias("value"))
-        self._commit([(ADD, STAGED, r) for r in self._runs_of(resolve.latest(batch), source)])
-        if sum(r["entries"] for r in self.runs() if r["level"] == STAGED) >= self.options.memtable_keys and self.staged_keys() >= self.options.memtable_keys:
+        batch = rows.select(key.alias("key"), (checked + F.lit(base)).alias("seq"), kind.alias("op"), value.alias("value"))
+        try:
+            new = self._runs_of(resolve.latest(batch), source)
+        except PySparkException as e:
+            raise LogApplyError(source, e) from e
+        if new or source is not None:
+            self._commit([(ADD, STAGED, r) for r in new] or manifest.named(source))
+        if sum(r["entries"] for r in self._staged()) >= self.options.memtable_keys and self.staged_keys() >= self.options.memtable_keys:
             self.flush()
 
+    @logged
     def put(self, rows: DataFrame, source: str | None = None) -> None:
-        """Insert or replace: key, value and, if a key comes twice, ordinal to order its changes."""
+        """Insert or replace: key, value and, if a key comes twice, ordinal to order its changes. One bad row
+        refuses the batch."""
         self._write(rows, INSERT, source)
 
-    update = put
+    @logged
+    def update(self, rows: DataFrame, source: str | None = None) -> None:
+        """The same as put: a key need not be there."""
+        self._write(rows, INSERT, source)
 
+    @logged
+    def write(self, rows: DataFrame, source: str | None = None) -> DataFrame:
+        """put() for the rows that can be taken, and a reply for every row: key, status (OK or
+        INVALID_ARGUMENT), message."""
+        good = F.col("key").isNotNull()
+        if "ordinal" in rows.columns:
+            good = good & F.coalesce(F.col("ordinal").between(0, BATCH - 1), F.lit(False))
+        self._write(rows.where(good), INSERT, source)
+        message = F.when(F.col("key").isNull(), "null key").when(~good, f"the ordinal is not from 0 to {BATCH - 1}").otherwise("")
+        return rows.select("key", F.when(good, "OK").otherwise("INVALID_ARGUMENT").alias("status"), message.alias("message"))
+
+    @logged
     def delete(self, keys: DataFrame) -> None:
         self._write(keys, DELETE, None)
 
+    @logged
     def apply(self, changes: DataFrame, source: str) -> None:
-        """A batch of changes (key, op, value, ordinal) under a name. The manifest log keeps every name, so
+        """A batch of changes (key, op, value, ordinal) under a name. The manifest keeps every name, so
         a repeated one does nothing, whatever was flushed or compacted since."""
         self._write(changes, INSERT, source)
 
@@ -99,15 +154,26 @@ class Store:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return files.write_runs(entries, folder, parts, self.options.run_entries, self.options.bloom_fpp, source)
 
+    def _staged(self) -> list[dict]:
+        return [r for r in self.runs() if r["level"] == STAGED]
+
     def staged_keys(self) -> int:
-        return resolve.size(self.entries(r for r in self.runs() if r["level"] == STAGED)).first()["n_keys"]
+        return resolve.size(self.entries(self._staged())).first()["n_keys"]
+
+    def log_bytes(self) -> int:
+        """Bytes of the batches that are not flushed yet."""
+        return sum(r["bytes"] for r in self._staged())
 
-    def flush(self) -> None:
-        """Staged batches become level-0 runs, in one commit."""
-        staged = [r for r in self.runs() if r["level"] == STAGED]
+    @logged
+    def flush(self) -> list[dict]:
+        """Staged batches become level-0 runs, in one commit; these runs."""
+        staged, new = self._staged(), []
         if staged:
             new = self._runs_of(resolve.latest(self.entries(staged)))
             self._commit([(CLEAR, STAGED, None), *[(ADD, 0, r) for r in new]])
+            for listener in self.flush_listeners:
+                listener(new)
+        return new
 
     # --- reads ------------------------------------------------------------------------------------
 
@@ -116,10 +182,12 @@ class Store:
         a, b = low.hex().upper() if low is not None else "", high.hex().upper() if high is not None else None
         return self.entries(r for r in self.runs() if r["last"] >= a and (b is None or r["first"] <= b))
 
+    @logged
     def get(self, key: bytes) -> bytes | None:
         row = resolve.get(self.change_log(key, key), bytearray(key)).first()
         return None if row is None else bytes(row["value"])
 
+    @logged
     def multi_get(self, keys: DataFrame) -> DataFrame:
         """key, status, value of each asked key, over the runs that the keys' range meets."""
         ends = keys.agg(F.min("key").alias("a"), F.max("key").alias("b")).first()
@@ -127,9 +195,11 @@ class Store:
             return resolve.multi_get(self.entries([]), keys)
         return resolve.multi_get(self.change_log(bytes(ends["a"]), bytes(ends["b"])), keys)
 
+    @logged
     def scan(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
         return resolve.range_scan(self.change_log(low, high), None if low is None else bytearray(low), None if high is None else bytearray(high)).orderBy("key")
 
+    @logged
     def live(self) -> DataFrame:
         return resolve.live(self.change_log())
 
@@ -141,6 +211,7 @@ class Store:
             sizes[r["level"]] = sizes.get(r["level"], 0) + r["bytes"]
         return [n for n in range(self.options.levels - 1) if sizes.get(n, 0) >= self.options.max_bytes(n)]
 
+    @logged
     def compact(self) -> None:
         """Compact triggered levels from the top until none is left or nothing moves."""
         while levels := self.triggered():
@@ -156,22 +227,30 @@ class Store:
         upper = mine if level == 0 else [min(mine, key=lambda r: (r["created_on"], r["run_id"]))]
         first, last = min(r["first"] for r in upper), max(r["last"] for r in upper)
         lower = [r for r in runs if r["level"] == level + 1 and r["first"] <= last and first <= r["last"]]
-        gone = [(REMOVE, r["level"], {k: v for k, v in r.items() if k != "level"}) for r in [*upper, *lower]]
-        # A tombstone may go once no older copy of its key can lie anywhere else: not below, and not in
-        # what stays behind on this level (level 0 goes whole, lower levels are disjoint).
-        deeper = any(r["level"] > level + 1 and r["first"] <= last and first <= r["last"] for r in runs)
         if len(upper) == 1 and not lower and level > 0:
-            moved = {k: v for k, v in upper[0].items() if k != "level"}
+            moved = _no_level(upper[0])
             self._commit([(REMOVE, level, moved), (ADD, level + 1, moved)])
             return
+        # A tombstone may go once no older copy of its key can lie anywhere else: not below, where the runs
+        # that are merged reach, and not in what stays behind on either level (level 0 goes whole, the others
+        # are disjoint).
+        first, last = min(first, *(r["first"] for r in [*upper, *lower])), max(last, *(r["last"] for r in [*upper, *lower]))
+        deeper = any(r["level"] > level + 1 and r["first"] <= last and first <= r["last"] for r in runs)
         merged = resolve.latest(self.entries([*upper, *lower]))
         if not deeper:
             merged = merged.where(F.col("op") != DELETE)
+        gone = [(REMOVE, r["level"], _no_level(r)) for r in [*upper, *lower]]
         self._commit([*gone, *[(ADD, level + 1, r) for r in self._runs_of(merged)]])
 
+    @logged
     def vacuum(self) -> None:
-        """Delete run folders that no present run lies in."""
+        """Delete run folders that no present run lies in, and what the last checkpoint stands for."""
         kept = {r["path"].rsplit("/", 2)[-2] for r in self.runs()}
         for name in files.names(self.spark, f"{self.path}/runs"):
             if name not in kept:
                 files.remove(self.spark, f"{self.path}/runs/{name}")
+        saved = files.names(self.spark, self._checkpoints)
+        for folder in (self._manifest, self._checkpoints) if saved else ():
+            for name in files.names(self.spark, folder):
+                if name < saved[-1]:
+                    files.remove(self.spark, f"{folder}/{name}")
