@@ -289,7 +289,7 @@ QUERIES = {f.__name__: f for f in (
 
 _LOG = "log AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'INSERT' END AS op, value, event_id // 1000 AS run_id FROM events)"
 _LAST = "last AS (SELECT key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM log) WHERE r = 1)"
-_RUNS = "runs AS (SELECT o_orderkey % 7 AS run_id, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS entries, count(*) * 40 AS bytes FROM orders WHERE o_orderkey BETWEEN 1500 * (o_orderkey % 7) AND 1500 * (o_orderkey % 7) + 2200 GROUP BY 1)"
+_RUNS = "runs AS (SELECT i AS run_id, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS entries, count(*) * 40 AS bytes FROM orders, range(0, (SELECT max(o_orderkey) // 1500 + 1 FROM orders)) AS r(i) WHERE o_orderkey BETWEEN 1500 * i AND 1500 * i + 2200 GROUP BY 1)"
 _MANIFEST = """m AS (SELECT event_id AS "at", CASE WHEN event_type = 'error' THEN 'REMOVE' WHEN event_type = 'signup' AND event_id % 97 = 0 THEN 'CLEAR' ELSE 'ADD' END AS op,
   (user_id % 4)::INT AS level, user_id AS run_id, event_id + 1 AS bytes FROM events),
 c AS (SELECT level, max("at") AS cleared FROM m WHERE op = 'CLEAR' GROUP BY 1),
@@ -313,18 +313,18 @@ ORACLE = {
     "flush_runs": f"WITH {_LOG} SELECT run_id, min(key) AS first, max(key) AS last, count(DISTINCT key) AS entries FROM log GROUP BY 1",
     "wal_batches": f"WITH {_LOG}, n AS (SELECT (row_number() OVER (ORDER BY seq) - 1) // 64 AS batch FROM log) SELECT batch, count(*) AS entries, count(*) = 64 AS \"full\" FROM n GROUP BY 1",
     "wal_replay": f"WITH {_LOG}, {_LAST} SELECT * FROM last",
-    "run_merge": f"WITH {_LOG.replace('FROM events', 'FROM events WHERE event_id < 3000')}, {_LAST} SELECT * FROM last",
+    "run_merge": f"WITH {_LOG}, {_LAST} SELECT * FROM last",
     "run_split": f"WITH {_LOG}, {_LAST}, n AS (SELECT key, (row_number() OVER (ORDER BY key) - 1) // 20 AS run_no FROM last) SELECT run_no, min(key) AS first, max(key) AS last, count(*) AS entries FROM n GROUP BY 1",
     "run_overlaps": f"WITH {_RUNS} SELECT x.run_id AS a, y.run_id AS b FROM runs x JOIN runs y ON x.run_id < y.run_id AND x.first <= y.last AND y.first <= x.last",
     "run_oldest": f"WITH {_LOG} SELECT arg_min(run_id, seq) AS run_id, min(seq) AS created_on FROM log",
     "manifest_replay": f"WITH {_MANIFEST} SELECT level, run_id, \"at\", bytes FROM present",
     "level_sizes": f"WITH {_MANIFEST} SELECT level, sum(bytes)::BIGINT AS bytes, count(*) AS runs FROM present GROUP BY 1",
     "level_trigger": f"WITH {_MANIFEST} SELECT level, sum(bytes)::BIGINT AS bytes, count(*) AS runs, sum(bytes) >= 50000 * 10 ** level AS over FROM present GROUP BY 1",
-    "level_locate": f"WITH {_RUNS} SELECT o_orderkey AS key, run_id FROM orders JOIN runs ON o_orderkey BETWEEN first AND last WHERE o_orderkey % 50 = 0",
+    "level_locate": f"WITH {_RUNS} SELECT o_orderkey AS key, run_id FROM orders JOIN runs ON o_orderkey BETWEEN first AND last",
     "search_precedence": f"WITH {_LOG}, l AS (SELECT *, least((9 - least(run_id, 9)) // 3, 3)::INT AS level, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM log) SELECT key, level, seq FROM l WHERE r = 1",
     "compact_l0": f"WITH {_LOG}, {_LAST}, n AS (SELECT key, (row_number() OVER (ORDER BY key) - 1) // 30 AS run_no FROM last WHERE op = 'INSERT') SELECT run_no, min(key) AS first, max(key) AS last, count(*) AS entries FROM n GROUP BY 1",
-    "compact_lower": f"WITH {_RUNS}, u AS (SELECT * FROM runs ORDER BY first, run_id LIMIT 1), t AS (SELECT r.* FROM runs r, u WHERE r.first <= u.last AND u.first <= r.last) SELECT count(*) AS runs, min(first) AS first, max(last) AS last, sum(entries)::BIGINT AS entries FROM t",
-    "trivial_move": f"WITH {_RUNS} SELECT x.run_id, 1 AS level FROM runs x WHERE x.run_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM runs y WHERE y.run_id = 1 AND x.first <= y.last AND y.first <= x.last)",
+    "compact_lower": f"WITH {_RUNS}, u AS (SELECT * FROM runs ORDER BY first, run_id LIMIT 1), t AS (SELECT r.* FROM runs r, u WHERE r.first <= u.last AND u.first <= r.last), k AS (SELECT DISTINCT o_orderkey AS key FROM orders JOIN t ON o_orderkey BETWEEN 1500 * run_id AND 1500 * run_id + 2200), n AS (SELECT key, (row_number() OVER (ORDER BY key) - 1) // 1000 AS run_no FROM k) SELECT run_no, min(key) AS first, max(key) AS last, count(*) AS entries FROM n GROUP BY 1",
+    "trivial_move": f"WITH {_RUNS} SELECT x.run_id, 1 AS level FROM runs x WHERE x.run_id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM runs y WHERE y.run_id % 4 = 0 AND x.first <= y.last AND y.first <= x.last)",
     "bloom_bits": f"WITH {_BLOOM} SELECT bit FROM bits",
     "bloom_words": f"WITH {_BLOOM}, w AS (SELECT bit // 64 AS word, bit_or(1::UBIGINT << (bit % 64)::UBIGINT) AS v FROM bits GROUP BY 1) SELECT range AS word, CASE WHEN v >= 9223372036854775808 THEN (v::HUGEINT - 18446744073709551616)::BIGINT ELSE coalesce(v, 0)::BIGINT END AS value FROM range(0, 16) LEFT JOIN w ON word = range",
     "bloom_probe": f"WITH {_BLOOM}, q AS (SELECT s_name AS key FROM supplier UNION SELECT n_name FROM nation), p AS (SELECT key, {_FNV.format(x='key')} AS h FROM q) SELECT key, (h % 1000)::BIGINT IN (SELECT bit FROM bits) AND ((h // 4294967296) % 1000)::BIGINT IN (SELECT bit FROM bits) AS may_hold FROM p",
