@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.sources.files import remove, scratch
+
 #: Text that one vectorised step holds at a time, in bytes; a longer document is a step of its own.
 SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch.
@@ -24,9 +25,9 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so workers can import it, and keep
-    Arrow batches small: texts are wide, and workers and executors hold a few batches at a time."""
+    the session's Arrow batches small: texts are wide, and workers and executors hold a few batches at a time."""
     sc = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:  # 0 is no bound
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
@@ -40,23 +41,25 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a local one is set only where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _test_folder(spark)
-    return f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
-
-
-def _test_folder(spark: SparkSession) -> str:
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidelog')}")
-    return jsc.getCheckpointDir().get()
+    """A fresh folder under spark.checkpoint.dir, which goes with the session; a local one only where that is
+    unset and the session local (tests)."""
+    return scratch(spark)
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(f"{folder}/{name}")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out._stored_in = folder
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that stored() gave, once what was made of them is stored too."""
+    for t in tables:
+        if t is not None:
+            remove(t.sparkSession, t._stored_in)
 
 
 _resident: dict[object, object] = {}

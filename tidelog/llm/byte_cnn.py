@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from tidelog.llm._shared import ship, slices, utf8_columns
 
 WIDTH, STRIDE, DEPTH, FILTERS = 16, 8, 8, 48
-#: Bounded sample to learn from: labelled rows, and the most bytes of a text among them.
-SAMPLE, SAMPLE_TEXT = 4000, 32_768
+#: Bounded sample to learn from: labelled rows, and the code points of a text among them; of a longer text,
+#: one of its windows of so many, which overlap by half.
+SAMPLE, SAMPLE_TEXT = 4000, 16_384
 THRESHOLD = 0.7
 #: Bytes of text convolved at a time.
 LONG = 1 << 17
@@ -112,7 +113,7 @@ def learn(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, rat
             dh = d[:, None] * net.out * (hidden > 0)
             grad = {"out": hidden.T @ d, "shift": float(d.sum()), "bias": dh.sum(0)}
             # The winning chunk of each text and filter, the first of equals.
-            won = np.stack([first + [int(every[f : f + c, k].argmax()) for f, c in zip(first, chunks, strict=True)] for k in range(FILTERS)], axis=1)
+            won = np.minimum.reduceat(np.where(every == np.repeat(best, chunks, axis=0), np.arange(len(every))[:, None], len(every)), first, axis=0)
             places = (rows[won] * STRIDE)[:, :, None] + np.arange(WIDTH)
             seen = codes[places]
             vectors = net.embed[seen].reshape(len(mine), FILTERS, -1)
@@ -140,10 +141,14 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
     """Learn from at most ``sample`` labelled rows that are not held out, chosen by a hash of doc_id,
-    of texts up to SAMPLE_TEXT bytes. Both bounds keep what the driver holds within 128 MB."""
+    and of a text longer than SAMPLE_TEXT code points from one of its windows, chosen by that hash too. Both
+    bounds keep what the driver holds within 256 MB."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "quality")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT)
+    size, half = F.length("text"), SAMPLE_TEXT // 2
+    windows = F.greatest(F.ceil((size - half) / half), F.lit(1))
+    window = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id"), windows) * half + 1).cast("int"), F.lit(SAMPLE_TEXT))
+    texts = docs.select("doc_id", F.when(size <= SAMPLE_TEXT, F.col("text")).when(size > SAMPLE_TEXT, window).otherwise("").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
     if not rows:
         return None

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm._shared import apart, from_lists, resident, ship, slices, stored, utf8_columns
+from tidelog.llm._shared import apart, discard, from_lists, resident, ship, slices, stored, utf8_columns
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -162,6 +162,7 @@ def components(edges: DataFrame) -> DataFrame:
     found, number = None, 0
     while found is None or not edges.isEmpty():
         number += 1
+        before = [edges, found]
         order = lambda c: F.struct(F.xxhash64(F.lit(number), c).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
         both = edges.select("a", "b").union(edges.select("b", "a"))
         first = both.groupBy("a").agg(F.min(order("b")).alias("m"))
@@ -172,8 +173,10 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             # Only ends of edges have moved on; the others are at their root.
             found = stored(found.join(to("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "found")
-        ends = stored(edges.join(to("a", "x"), "a").select("b", "x"), "ends").join(to("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = stored(_drawn(ends), "edges")
+        half = stored(edges.join(to("a", "x"), "a").select("b", "x"), "ends")
+        edges = stored(_drawn(half.join(to("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
+        discard(*before, half, None if found is step else step)
+    discard(edges)
     return found
 
 
@@ -278,15 +281,19 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if shared.isEmpty():
         found = None
     else:
-        found = stored(_links(docs, nodes, *_blocks(keys, shared)), "links")
+        placed, met, meets = _blocks(keys, shared)
+        found = stored(_links(docs, nodes, placed.select("node", "block"), meets), "links")
+        discard(placed, met)
     base = nodes.select("node", "n_rows", "rep")
     if found is None:
         full = base.select("node", F.col("node").alias("class_node"), (F.col("n_rows") - 1).alias("n_links"), "n_rows", "rep")
     else:
         links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
-        roots = components(found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "class_node")
-        full = base.join(links.join(roots, "node"), "node", "left").select("node", F.coalesce("class_node", "node").alias("class_node"), (F.col("n_rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "n_rows", "rep")
-    return rows, stored(full, "classes")
+        roots = components(found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        full = base.join(links.join(roots.withColumnRenamed("root", "class_node"), "node"), "node", "left").select("node", F.coalesce("class_node", "node").alias("class_node"), (F.col("n_rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "n_rows", "rep")
+    full = stored(full, "classes")
+    discard(nodes, shared, found, None if found is None else roots)
+    return rows, full
 
 
 def _band_keys(nodes: DataFrame) -> DataFrame:
@@ -295,8 +302,8 @@ def _band_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "size", F.explode(F.transform(places, lambda b: F.substring(F.col("bands"), b * 8 + 1, F.lit(8)))).alias("key"))
 
 
-def _blocks(keys: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks of nodes (node, block), and which blocks meet (block, i, j): a row for each of two blocks i and j
+def _blocks(keys: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two stored tables, the first of which has the blocks of nodes (node, block), and which blocks meet (block, i, j): a row for each of two blocks i and j
     with a common bucket, and for each block of several nodes by itself."""
     member = keys.join(shared.select("key", "n"), "key")
     # A node has as many keys as there are bands at most.
@@ -309,14 +316,16 @@ def _blocks(keys: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = held.select(F.col("home.key").alias("key"), "n", "bytes", (size >= 0.5).alias("large")).join(reach, "key")
     near = stored(near.select("key", "n", "bytes", "large", F.when(F.col("large"), F.col("key")).otherwise(F.col("near.key")).alias("place")), "near")
     parts = near.groupBy("place", "large").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("place", "large", F.ceil(size).cast("int").alias("parts"))
-    lots = stored(near.select("key", "place", "large").join(stored(parts, "parts"), ["place", "large"]), "lots")
+    parts = stored(parts, "parts")
+    lots = stored(near.select("key", "place", "large").join(parts, ["place", "large"]), "lots")
     part = F.pmod(F.when(F.col("large"), F.xxhash64("node")).otherwise(F.xxhash64("key")), F.col("parts"))
     placed = stored(of.select("node", F.col("home.key").alias("key"), "keys").join(lots, "key").select("node", F.xxhash64("place", "large", part).alias("block"), "keys"), "placed")
     there = stored(placed.select("block", F.explode("keys").alias("key")).distinct(), "there")
     a, b = there.select("key", F.col("block").alias("i")), there.select("key", F.col("block").alias("j"))
     met = stored(a.join(b, "key").where("i < j").select("i", "j").distinct(), "met")
+    discard(of, near, parts, lots, there)
     alone = placed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.col("block").alias("i"), F.col("block").alias("j"))
-    return placed.select("node", "block"), met.select(F.explode(F.array("i", "j")).alias("block"), "i", "j").unionByName(alone)
+    return placed, met, met.select(F.explode(F.array("i", "j")).alias("block"), "i", "j").unionByName(alone)
 
 
 def _links(docs: DataFrame, nodes: DataFrame, placed: DataFrame, meets: DataFrame) -> DataFrame:
