@@ -80,7 +80,7 @@ class Network:
         out = np.zeros(len(at) - 1)
         for lo, hi in slices(np.diff(at), LONG):
             if at[hi] - at[lo] > LONG:  # one long text, in windows that overlap by a chunk
-                cuts = range(int(at[lo]), int(at[hi]), LONG)
+                cuts = range(int(at[lo]), int(at[hi]) - WIDTH, LONG)
                 pooled = np.max([self.pool(data, np.array([c, min(c + LONG + WIDTH, at[hi])]))[0][0] for c in cuts], axis=0)[None]
             else:
                 pooled = self.pool(data, at[lo : hi + 1])[0]
