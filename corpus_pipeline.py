@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: quality, near duplicates, benchmark leaks, secrets, token ids."""
+"""A training corpus from raw documents: quality, near duplicates, benchmark leaks, secrets, token ids.
+
+Every stage takes its predecessor's whole table and keeps the columns of documents, whatever others there are,
+but the last, which has columns of its own. A null or empty text is scored by the classifier as such, has no near
+duplicates, leaks nothing, has no secrets and no tokens; a null text stays null. A null doc_id is carried, and
+comes after all others where the least of a class stays; of repeated rows one stays, ties are told apart by the
+text's hash. An empty table stays empty through all stages. Without labels, the classifier rejects nothing.
+"""
 
 from __future__ import annotations
 
