@@ -179,6 +179,20 @@ def test_log_batches_go_by_place(spark):
     assert runs.log_batches(log.where("false"), 4).count() == 0
 
 
+@pytest.mark.parametrize("stretches", [1, 5, 256])
+def test_ranges_meet_as_by_brute_force(spark, monkeypatch, stretches):
+    monkeypatch.setattr(runs, "STRETCHES", stretches)
+    r = random.Random(stretches)
+    ranges = lambda n: [(k, *sorted((bytes([r.randrange(60)]), bytes([r.randrange(60), r.randrange(3)])))) for k in range(n)]
+    for a, b in ((ranges(40), ranges(30)), (ranges(5), []), ([], ranges(5)), ([(0, b"a", b"a")], [(0, b"a", b"z")])):
+        table = lambda x: spark.createDataFrame([(k, bytearray(f), bytearray(t)) for k, f, t in x], "run_id long, first binary, last binary")
+        got = sorted(map(tuple, runs.overlapping(table(a), table(b)).collect()))
+        assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] <= y[2] and y[1] <= x[2])
+        keys = [bytes([k]) for k in range(60)]
+        found = runs.locate(table(b), spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")).collect()
+        assert sorted((bytes(x["key"]), x["run_id"]) for x in found) == sorted((k, y[0]) for k in keys for y in b if y[1] <= k <= y[2])
+
+
 def test_streams_over_several_batches(spark, tmp_path):
     schema = "key long, seq long, op string, value double"
     stream = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.resolve import latest
 from tidelog.sources import files
 
+#: Stretches of keys by which ranges are joined.
+STRETCHES = 256
+
 
 def bounds(entries: DataFrame, *run: str) -> DataFrame:
     """First and last key and number of entries of each run."""
@@ -42,12 +47,27 @@ def split(entries: DataFrame, size: int) -> DataFrame:
     return ranged.join(F.broadcast(starts), "__p").withColumn("run_no", F.floor(place / size).cast("long")).drop("__p", "__at", "__start")
 
 
+def _stretches(*runs: DataFrame) -> list:
+    """Keys that cut the key space into stretches with about as many runs' first keys each: a sample of bounded
+    size, chosen by hash."""
+    firsts = reduce(DataFrame.union, [r.select("first") for r in runs]).where("first is not null").distinct()
+    return sorted(r[0] for r in firsts.orderBy(F.xxhash64("first"), "first").limit(STRETCHES).collect())
+
+
+def _stretch(key: Column, cuts: list) -> Column:
+    """Number of the stretch that a key lies in."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= key)) if cuts else F.lit(0)
+
+
 def overlapping(upper: DataFrame, lower: DataFrame, on: str = "run_id") -> DataFrame:
-    """Pairs of runs whose closed key ranges meet. Runs are manifest rows, so this is a small range
-    join; ranges that contain one another count."""
-    a = upper.select(F.col(on).alias("a"), F.col("first").alias("a_first"), F.col("last").alias("a_last"))
-    b = lower.select(F.col(on).alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"))
-    return a.join(b, (F.col("a_first") <= F.col("b_last")) & (F.col("b_first") <= F.col("a_last"))).select("a", "b")
+    """Pairs of runs whose closed key ranges meet; ranges that contain one another count. Runs are joined by
+    stretches of keys that both reach, a pair once, in the first of these."""
+    cuts = _stretches(upper, lower)
+    reach = F.explode(F.sequence(_stretch(F.col("first"), cuts), _stretch(F.col("last"), cuts))).alias("at")
+    a = upper.select(F.col(on).alias("a"), F.col("first").alias("a_first"), F.col("last").alias("a_last"), reach)
+    b = lower.select(F.col(on).alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"), reach)
+    met = (F.col("a_first") <= F.col("b_last")) & (F.col("b_first") <= F.col("a_last"))
+    return a.join(b, "at").where(met & (F.col("at") == _stretch(F.greatest("a_first", "b_first"), cuts))).select("a", "b")
 
 
 def oldest(runs: DataFrame) -> DataFrame:
@@ -63,11 +83,10 @@ def log_batches(log: DataFrame, size: int) -> DataFrame:
 
 
 def locate(runs: DataFrame, keys: DataFrame, width: int | None = None) -> DataFrame:
-    """The runs that may hold each key, by their bounds. With a ``width`` for integer keys, a key meets
-    only the runs of its own stretch of so many keys, not all."""
+    """The runs that may hold each key, by their bounds. A key meets only the runs that reach its own stretch
+    of keys: with a ``width``, for integer keys, of so many; else between some of the runs' first keys."""
+    cuts = _stretches(runs) if width is None else []
+    stretch = (lambda c: _stretch(F.col(c), cuts)) if width is None else (lambda c: F.floor(F.col(c) / width))
     inside = (F.col("first") <= F.col("key")) & (F.col("key") <= F.col("last"))
-    if width is None:
-        return keys.join(runs, inside)
-    stretch = lambda c: F.floor(F.col(c) / width)
     met = runs.withColumn("__stretch", F.explode(F.sequence(stretch("first"), stretch("last"))))
     return keys.withColumn("__stretch", stretch("key")).join(met, "__stretch").where(inside).drop("__stretch")
