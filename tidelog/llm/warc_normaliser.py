@@ -160,6 +160,8 @@ def normalise(written: DataFrame, folder: str) -> DataFrame:
     # The response: the largest page_id, of its repetitions the first in file order.
     large = slim.where("digest is not null")
     heads = large.groupBy("digest").agg(F.count("*").alias("copies"), F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), F.col("file").alias("f"), (-F.col("n")).alias("k"))).alias("head")).where("copies > 1")
+    # As a table of its own, so that the partition of a body that many pages share can be split in the join.
+    heads = stored(heads, "heads")
     joined = large.join(heads, "digest", "left").select("file", "n", "page_id", F.when((F.col("head.f") != F.col("file")) | (F.col("head.k") != -F.col("n")), F.col("head.p")).alias("refers"))
     marked = joined.unionByName(slim.where("digest is null").select("file", "n", "page_id", F.lit(None).cast("long").alias("refers")))
 
