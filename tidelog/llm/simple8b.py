@@ -383,7 +383,8 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int) ->
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, or of none, are dealt by how their texts begin.
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, "shard long, path string, n_ids long, n_docs long")
 
 
