@@ -22,7 +22,9 @@ Besides, plain phrases are counted at every place where their words follow one a
 
 Input columns ``doc_id`` and ``text``; others are ignored. A null or empty text has no words, no labels
 and score 0; repeated rows each give a row; a null doc_id stays null; frequency ties are ordered by the
-word; an empty table gives no rows; without templates, only phrases are found.
+word; an empty table gives no rows; without templates, only phrases are found. Rows are told apart by
+their place in the input, so a repeated task must get them in the same order, as it does from files and from
+tables that are stored.
 """
 
 from __future__ import annotations
