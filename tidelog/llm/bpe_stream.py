@@ -24,7 +24,7 @@ from tidelog.llm._shared import from_lists, resident, ship
 #: Pre-token pattern of the byte-level vocabularies (a fixed value, public).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points read at a time; longest pre-token encoded at once; remembered pieces.
-CHUNK, LONG, CACHE = 1 << 16, 512, 240_000
+CHUNK, LONG, CACHE = 1 << 16, 512, 480_000
 #: Marks that are one pre-token after letters; the rank of no merge.
 MARKS, NONE = ".,;:!?", 1 << 60
 #: A pre-token's choice reads at most so many code points beyond its end.
