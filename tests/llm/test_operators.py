@@ -366,6 +366,16 @@ def test_many_secrets_in_one_text(spark):
         assert cut[k] == (t if t is None else redacted(t))
 
 
+@pytest.mark.parametrize(("cut", "stretch"), [(1, 1), (50, 7), (1 << 17, 1 << 11)])
+def test_entropy_of_long_candidates(spark, cut, stretch, monkeypatch):
+    monkeypatch.setattr(secret_scan, "CUT", cut)
+    monkeypatch.setattr(secret_scan, "STRETCH", stretch)
+    r = random.Random(cut)
+    rows = ["".join(r.choice(s) for _ in range(n)) for s in ("ab1", secret_scan.ALPHABET) for n in (0, 19, 20, 21, 40, 300)] + (["aaaaaaaaab" * 300_000 + "q7ZvW2bKx9RtY4mJcP1d"] if cut > 100 else [])
+    got = [x[0] for x in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").orderBy("k").select(secret_scan.largest_entropy(F.col("t"))).collect()]
+    assert np.allclose(got, [entropy(t[-400:]) for t in rows])
+
+
 def test_pipeline_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     net = byte_cnn.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))

@@ -48,6 +48,8 @@ ALLOWED = f"{SHAPED}|{MARKED}"
 KINDS = [*(k for k, *_ in SHAPES), *(k for k, *_ in CLASSES)]
 MARK = "[REDACTED]"
 _SPAN = "struct<start:int,kind:int,end:int,size:int>"
+#: Characters of a long candidate that are cut out at a time, and whose windows are gone through at a time.
+CUT, STRETCH = 1 << 17, 1 << 11
 #: Counts of a window's characters lie in 64-bit words, so many to a word, so many bits each.
 PER_WORD, COUNT_BITS = 12, 5
 
@@ -92,8 +94,19 @@ def _spans(pieces: Column, hits: Column, sizes: Column, kind: int) -> Column:
     return F.when(F.size(hits) > 0, _running(rows, emit, lambda at, x: at + x["gap"] + x["hit"], _SPAN))
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """Stretches of a text that overlap by a window less one character."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size)), lambda i: F.substring(text, i + 1, F.lit(size + WINDOW - 1)))
+
+
 def largest_entropy(text: Column) -> Column:
-    """The largest entropy, in bits, of WINDOW characters in a row, by incremental counts."""
+    """The largest entropy, in bits, of WINDOW characters in a row. Long candidates are gone through by stretches,
+    so that few characters are held apart at a time."""
+    return F.array_max(F.transform(_pieces(text, CUT), lambda cut: F.array_max(F.transform(_pieces(cut, STRETCH), _slide))))
+
+
+def _slide(text: Column) -> Column:
+    """The largest entropy of a stretch, by incremental counts."""
     cost = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
     words = -(-len(ALPHABET) // PER_WORD)
     ones = F.array(*[F.lit(1 << COUNT_BITS * (k % PER_WORD)).cast("long") for k in range(len(ALPHABET))])
