@@ -36,6 +36,14 @@ def search_order(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("key").agg(F.max(F.struct("seq", (-F.col("level")).alias("up"))).alias("v")).select("key", (-F.col("v.up")).alias("level"), "v.seq")
 
 
+def first_hit(candidates: DataFrame) -> DataFrame:
+    """Of each key's versions in any runs (key, level, seq, ...), that of the first level which has the key, level 0
+    before the lower ones; on level 0, where runs overlap, the newest. Lower levels are disjoint, so each has
+    one candidate at most."""
+    order = F.struct("level", (-F.col("seq")).alias("older"))
+    return candidates.groupBy("key").agg(F.min(order).alias("v")).select("key", "v.level", (-F.col("v.older")).alias("seq"))
+
+
 def named(name: str) -> list[tuple[str, int, dict]]:
     """Entries that leave nothing of a batch but its name."""
     return [(ADD, STAGED, {"run_id": name, "source": name}), (REMOVE, STAGED, {"run_id": name})]

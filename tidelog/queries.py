@@ -163,6 +163,17 @@ def search_precedence(spark, sf_dir):
     return manifest.search_order(e)
 
 
+def search_first_hit(spark, sf_dir):
+    """The last three runs of the log are level 0; what lies below is merged into one level for odd keys and
+    another for even ones."""
+    e = _event_runs(spark, sf_dir)
+    top = (e.agg(F.max("run_id")).first()[0] or 0) - 2
+    below = F.when(F.col("key") % 2 == 1, 1).otherwise(2)
+    placed = e.select("key", "seq", F.when(F.col("run_id") >= top, 0).otherwise(below).alias("level"))
+    lower = placed.where("level > 0").groupBy("key", "level").agg(F.max("seq").alias("seq"))
+    return manifest.first_hit(placed.where("level = 0").unionByName(lower))
+
+
 def compact_l0(spark, sf_dir):
     """All runs merged into runs of 30 keys of the bottom level: tombstones go."""
     merged = runs.merge(_event_runs(spark, sf_dir).drop("run_id")).where("op <> 'DELETE'")
@@ -282,7 +293,7 @@ def stream_state(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     kv_live, kv_tombstones, kv_get, kv_multi_get, kv_as_of, kv_range_scan, kv_ordered_scan, kv_puts, kv_deletes, memtable_size, flush_trigger, flush_runs,
-    wal_batches, wal_replay, run_merge, run_split, run_overlaps, run_oldest, manifest_replay, level_sizes, level_trigger, level_locate, search_precedence,
+    wal_batches, wal_replay, run_merge, run_split, run_overlaps, run_oldest, manifest_replay, level_sizes, level_trigger, level_locate, search_precedence, search_first_hit,
     compact_l0, compact_lower, trivial_move, bloom_bits, bloom_words, bloom_probe, bloom_positions_of, store_lifecycle, store_compaction, stream_latest,
     stream_view, stream_state,
 )}
@@ -322,6 +333,7 @@ ORACLE = {
     "level_trigger": f"WITH {_MANIFEST} SELECT level, sum(bytes)::BIGINT AS bytes, count(*) AS runs, sum(bytes) >= 50000 * 10 ** level AS over FROM present GROUP BY 1",
     "level_locate": f"WITH {_RUNS} SELECT o_orderkey AS key, run_id FROM orders JOIN runs ON o_orderkey BETWEEN first AND last",
     "search_precedence": f"WITH {_LOG}, l AS (SELECT *, least((9 - least(run_id, 9)) // 3, 3)::INT AS level, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM log) SELECT key, level, seq FROM l WHERE r = 1",
+    "search_first_hit": f"WITH {_LOG}, t AS (SELECT max(run_id) - 2 AS top FROM log), l AS (SELECT key, seq, CASE WHEN run_id >= top THEN 0 WHEN key % 2 = 1 THEN 1 ELSE 2 END AS level FROM log, t), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY level, seq DESC) AS r FROM l) SELECT key, level, seq FROM r WHERE r = 1",
     "compact_l0": f"WITH {_LOG}, {_LAST}, n AS (SELECT key, (row_number() OVER (ORDER BY key) - 1) // 30 AS run_no FROM last WHERE op = 'INSERT') SELECT run_no, min(key) AS first, max(key) AS last, count(*) AS entries FROM n GROUP BY 1",
     "compact_lower": f"WITH {_RUNS}, u AS (SELECT * FROM runs ORDER BY first, run_id LIMIT 1), t AS (SELECT r.* FROM runs r, u WHERE r.first <= u.last AND u.first <= r.last), k AS (SELECT DISTINCT o_orderkey AS key FROM orders JOIN t ON o_orderkey BETWEEN 1500 * run_id AND 1500 * run_id + 2200), n AS (SELECT key, (row_number() OVER (ORDER BY key) - 1) // 1000 AS run_no FROM k) SELECT run_no, min(key) AS first, max(key) AS last, count(*) AS entries FROM n GROUP BY 1",
     "trivial_move": f"WITH {_RUNS} SELECT x.run_id, 1 AS level FROM runs x WHERE x.run_id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM runs y WHERE y.run_id % 4 = 0 AND x.first <= y.last AND y.first <= x.last)",
