@@ -17,6 +17,8 @@ from tidelog.sources.files import remove, scratch
 
 #: Text that one vectorised step holds at a time, in bytes; a longer document is a step of its own.
 SLICE_BYTES = 1 << 20
+#: Whether partitions are put together only as far as all cores have some.
+WIDE = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 #: Rows of an Arrow batch.
 BATCH_ROWS = 2000
 
@@ -47,9 +49,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts lineage and survives lost executors."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(f"{folder}/{name}")
+    """Write a table into the shared folder and read it back: cuts lineage and survives lost executors.
+    What a shuffle dealt out is put together to files of the advised size, rather than one for each core."""
+    folder, conf = shared_folder(df.sparkSession), df.sparkSession.conf
+    before = conf.get(WIDE)
+    conf.set(WIDE, "false")
+    try:
+        df.write.parquet(f"{folder}/{name}")
+    finally:
+        conf.set(WIDE, before)
     out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
     out._stored_in = folder
     return out

@@ -155,28 +155,27 @@ def components(edges: DataFrame) -> DataFrame:
     Each round orders nodes by a hash of its own and sends each to the first of itself and its neighbours;
     edges are then drawn between where their ends went, and those within one place go. A chance order
     shortens chains of any shape by a share every round, so rounds grow with the logarithm of a component's
-    width. Neighbours are reduced in part before they are shuffled, and the joins are of tables as they were
-    written, so partitions of a hub's edges can be split. Each round lies in the shared folder.
+    width. Neighbours are reduced in part before they are shuffled, and labels are joined as they were written, so
+    partitions of a hub's edges can be split. Each round lies in the shared folder.
     """
     edges = stored(_drawn(edges.select("a", "b")), "edges")
-    found, number = None, 0
-    while found is None or not edges.isEmpty():
-        number += 1
-        before = [edges, found]
-        order = lambda c: F.struct(F.xxhash64(F.lit(number), c).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
+    steps: list[DataFrame] = []
+    while not steps or not edges.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(steps)), c).alias("h"), F.col(c).alias("node"))
         both = edges.select("a", "b").union(edges.select("b", "a"))
         first = both.groupBy("a").agg(F.min(order("b")).alias("m"))
         step = stored(first.select(F.col("a").alias("node"), F.least("m", order("a"))["node"].alias("root")), "labels")
         to = lambda of, at: step.select(F.col("node").alias(of), F.col("root").alias(at))  # noqa: B023, E731
-        if found is None:
-            found = step
-        else:
-            # Only ends of edges have moved on; the others are at their root.
-            found = stored(found.join(to("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "found")
-        half = stored(edges.join(to("a", "x"), "a").select("b", "x"), "ends")
-        edges = stored(_drawn(half.join(to("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
-        discard(*before, half, None if found is step else step)
-    discard(edges)
+        drawn = stored(_drawn(edges.join(to("a", "x"), "a").join(to("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
+        discard(edges)
+        edges = drawn
+        steps.append(step)
+    # Every node is in the first round; only ends of edges move on in the later ones, the others are at their root.
+    found = steps[0]
+    for step in steps[1:]:
+        found = found.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    found = stored(found, "found")
+    discard(edges, *steps)
     return found
 
 
@@ -281,9 +280,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if shared.isEmpty():
         found = None
     else:
-        placed, met, meets = _blocks(keys, shared)
+        placed, meets = _blocks(keys, shared)
         found = stored(_links(docs, nodes, placed.select("node", "block"), meets), "links")
-        discard(placed, met)
+        discard(placed)
     base = nodes.select("node", "n_rows", "rep")
     if found is None:
         full = base.select("node", F.col("node").alias("class_node"), (F.col("n_rows") - 1).alias("n_links"), "n_rows", "rep")
@@ -302,8 +301,8 @@ def _band_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "size", F.explode(F.transform(places, lambda b: F.substring(F.col("bands"), b * 8 + 1, F.lit(8)))).alias("key"))
 
 
-def _blocks(keys: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Two stored tables, the first of which has the blocks of nodes (node, block), and which blocks meet (block, i, j): a row for each of two blocks i and j
+def _blocks(keys: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of nodes (node, block), a stored table, and which blocks meet (block, i, j): a row for each of two blocks i and j
     with a common bucket, and for each block of several nodes by itself."""
     member = keys.join(shared.select("key", "n"), "key")
     # A node has as many keys as there are bands at most.
@@ -320,12 +319,12 @@ def _blocks(keys: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame, D
     lots = stored(near.select("key", "place", "large").join(parts, ["place", "large"]), "lots")
     part = F.pmod(F.when(F.col("large"), F.xxhash64("node")).otherwise(F.xxhash64("key")), F.col("parts"))
     placed = stored(of.select("node", F.col("home.key").alias("key"), "keys").join(lots, "key").select("node", F.xxhash64("place", "large", part).alias("block"), "keys"), "placed")
-    there = stored(placed.select("block", F.explode("keys").alias("key")).distinct(), "there")
+    there = placed.select("block", F.explode("keys").alias("key")).distinct()
     a, b = there.select("key", F.col("block").alias("i")), there.select("key", F.col("block").alias("j"))
-    met = stored(a.join(b, "key").where("i < j").select("i", "j").distinct(), "met")
-    discard(of, near, parts, lots, there)
+    met = a.join(b, "key").where("i < j").select("i", "j").distinct()
+    discard(of, near, parts, lots)
     alone = placed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.col("block").alias("i"), F.col("block").alias("j"))
-    return placed, met, met.select(F.explode(F.array("i", "j")).alias("block"), "i", "j").unionByName(alone)
+    return placed, met.select(F.explode(F.array("i", "j")).alias("block"), "i", "j").unionByName(alone)
 
 
 def _links(docs: DataFrame, nodes: DataFrame, placed: DataFrame, meets: DataFrame) -> DataFrame:
