@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm._shared import ship, slices, utf8_columns
+from tidelog.llm._shared import resident, ship, slices, utf8_columns
 
 WIDTH, STRIDE, DEPTH, FILTERS = 16, 8, 8, 48
 #: Bounded sample to learn from: labelled rows, and the code points of a text among them; of a longer text,
@@ -166,6 +166,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in batches:
             s = batch_scores(net, batch.column(1))
             out = [d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for d in batch.column(0).to_pylist()]
@@ -182,6 +183,7 @@ def keep_good(docs: DataFrame, net: Network | None) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in batches:
             yield batch.filter(pa.array(batch_scores(net, batch.column(place)) >= THRESHOLD))
 
