@@ -17,8 +17,9 @@ from tidelog.sources.files import remove, scratch
 
 #: Text that one vectorised step holds at a time, in bytes; a longer document is a step of its own.
 SLICE_BYTES = 1 << 20
-#: Whether partitions are put together only as far as all cores have some.
-WIDE = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+#: How tables are stored: partitions are put together even if then not all cores have some, and shuffle files
+#: go once the table is there.
+STORING = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Rows of an Arrow batch.
 BATCH_ROWS = 2000
 
@@ -50,14 +51,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage and survives lost executors.
-    What a shuffle dealt out is put together to files of the advised size, rather than one for each core."""
+    What a shuffle dealt out is put together to files of the advised size, rather than one for each core, and its
+    own files are deleted after."""
     folder, conf = shared_folder(df.sparkSession), df.sparkSession.conf
-    before = conf.get(WIDE)
-    conf.set(WIDE, "false")
+    before = {key: conf.get(key) for key in STORING}
+    for key, value in STORING.items():
+        conf.set(key, value)
     try:
         df.write.parquet(f"{folder}/{name}")
     finally:
-        conf.set(WIDE, before)
+        for key, value in before.items():
+            conf.set(key, value)
     out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
     out._stored_in = folder
     return out
