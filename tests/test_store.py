@@ -50,6 +50,67 @@ def test_compaction_keeps_tombstones_of_keys_below(one, tmp_path):
     assert s.get(b"z") is None and [bytes(r["key"]) for r in s.live().collect()] == [b"a"]
 
 
+def test_compaction_moves_the_oldest_runs_in_one_step(one, tmp_path):
+    """As many of the oldest runs as a level has too much go down by one commit, not by one each."""
+    s = Store.open(one, f"file://{tmp_path}/o", Options(run_entries=2, level0_bytes=1, level_ratio=1))
+    s.put(rows(one, [(bytes([k]), b"1") for k in range(40)]))
+    s.flush()
+    before = s.version()
+    s.compact()
+    assert s.version() - before == 3 and [r["level"] for r in s.runs()] == [3] * 20
+    s.put(rows(one, [(bytes([k]), b"2") for k in range(1, 40, 3)]))
+    s.flush()
+    s.compact()
+    assert s.version() - before == 8 and s.triggered() == []
+    assert {bytes(r["key"])[0]: bytes(r["value"]) for r in s.live().collect()} == {k: b"2" if k % 3 == 1 else b"1" for k in range(40)}
+
+
+def test_compaction_takes_no_more_than_the_level_has_too_much(one, tmp_path):
+    s = Store.open(one, f"file://{tmp_path}/t", Options(run_entries=2))
+    for k in range(6):
+        s.put(rows(one, [(bytes([k]), b"")]))
+        s.flush()
+        s.compact_level(0)
+    mine = sorted(s.runs(), key=lambda r: (r["created_on"], r["run_id"]))
+    s.compact_level(1, sum(r["bytes"] for r in mine[3:]))
+    assert [r["run_id"] for r in mine[:4]] == sorted((r["run_id"] for r in s.runs() if r["level"] == 2), key=[r["run_id"] for r in mine].index)
+    s.compact_level(1)
+    assert sum(r["level"] == 2 for r in s.runs()) == 5
+
+
+@pytest.mark.parametrize("deep", [False, True])
+def test_stretches_that_merge_leave_runs_between_alone(one, tmp_path, deep):
+    """Runs merged in one step do not reach over a run between them that none of them meets; each keeps its
+    tombstones only where a lower level may have their keys."""
+    s = Store.open(one, f"file://{tmp_path}/b", Options(run_entries=2))
+
+    def stored(pairs=(), gone=()):
+        if pairs:
+            s.put(rows(one, [(k.encode(), v) for k, v in pairs]))
+        if gone:
+            s.delete(rows(one, [(k.encode(), b"") for k in gone]))
+        s.flush()
+        s.compact_level(0)
+
+    if deep:
+        stored([("y", b"0")])
+        s.compact_level(1)
+        s.compact_level(2)
+    stored([(k, b"1") for k in "abmnyz"])
+    s.compact_level(1, 0)
+    between = next(r for r in s.runs() if bytes.fromhex(r["first"]) == b"m")
+    stored([("a", b"2")], ["b"])
+    stored([("z", b"2")], ["y"])
+    version = s.version()
+    s.compact_level(1, 0)
+    assert s.version() == version + 1
+    low = sorted((r for r in s.runs() if r["level"] == 2), key=lambda r: r["first"])
+    assert between["run_id"] in {r["run_id"] for r in low} and not [r for r in s.runs() if r["level"] == 1]
+    assert [(bytes.fromhex(r["first"]), bytes.fromhex(r["last"])) for r in low] == [(b"a", b"a"), (b"m", b"n"), (b"y" if deep else b"z", b"z")]
+    s.vacuum()
+    assert {bytes(r["key"]): bytes(r["value"]) for r in s.live().collect()} == {b"a": b"2", b"m": b"1", b"n": b"1", b"z": b"2"}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_model_of_four_levels(one, tmp_path, seed):
     """Random steps of every kind against a dictionary, the store reopened now and then."""

@@ -63,14 +63,15 @@ def write_runs(entries: DataFrame, folder: str, parts: int, run_entries: int, fp
     """Write distinct keys as sorted Parquet files with bloom filters; a description of each file.
 
     Range partitioning makes the files' key ranges disjoint; bounds and counts are read back from the
-    key column alone, at most one row a file.
+    key column alone, at most one row a file. With a column ``stretch``, whose numbers ascend with the keys,
+    no file reaches from one stretch into another.
     """
     spark = entries.sparkSession
-    spread = entries.select("key", "seq", "op", "value").repartitionByRange(parts, "key").sortWithinPartitions("key")
-    spread.write.option("maxRecordsPerFile", run_entries).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", run_entries).option("parquet.bloom.filter.fpp#key", fpp).parquet(folder)
-    if not any(n.endswith(".parquet") for n in names(spark, folder)):
-        return []
-    files = spark.read.parquet(folder).select("key", "_metadata.file_path", "_metadata.file_size")
+    stretch = [c for c in entries.columns if c == "stretch"]
+    columns = entries.select("key", "seq", "op", "value")
+    spread = entries.select(*columns.columns, *stretch).repartitionByRange(parts, "key").sortWithinPartitions(*stretch, "key")
+    spread.write.option("maxRecordsPerFile", run_entries).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", run_entries).option("parquet.bloom.filter.fpp#key", fpp).parquet(folder, partitionBy=stretch or None)
+    files = spark.read.schema(columns.schema).parquet(folder).select("key", "_metadata.file_path", "_metadata.file_size")
     rows = files.groupBy("file_path").agg(F.hex(F.min("key")).alias("first"), F.hex(F.max("key")).alias("last"), F.count("*").alias("entries"), F.max("file_size").alias("bytes")).collect()
     now = time.time_ns() // 1000
     return [{"run_id": uuid.uuid4().hex, "path": r["file_path"], "first": r["first"], "last": r["last"], "bytes": r["bytes"], "entries": r["entries"], "created_on": now, "source": source} for r in sorted(rows, key=lambda r: r["first"])]

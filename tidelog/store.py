@@ -9,6 +9,7 @@ checkpoint of the present runs, from which others start.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import PySparkException
@@ -23,12 +24,40 @@ from tidelog.sources import files
 
 #: Changes of one batch that can be told apart by their ordinal.
 BATCH = 1 << 40
+#: Entries for which a task of a flush or compaction is worth its while, where a run may have as many.
+TASK = 100_000
 
 
 def _no_level(run: dict) -> dict:
     return {k: v for k, v in run.items() if k != "level"}
 
 
+def _folder(run: dict) -> str:
+    """The folder of a run's file: that of all that were written together."""
+    return run["path"].rsplit("/runs/", 1)[1].split("/")[0]
+
+
+def _entries_of(runs: Iterable[dict]) -> int:
+    return sum(r["entries"] for r in runs)
+
+
+def _stretches(runs: Iterable[dict]) -> list[list[dict]]:
+    """Runs in groups whose key ranges are linked by meeting, in the order of keys."""
+    out, last = [], None
+    for r in sorted(runs, key=lambda r: r["first"]):
+        if last is None or r["first"] > last:
+            out.append([])
+        out[-1].append(r)
+        last = r["last"] if last is None else max(last, r["last"])
+    return out
+
+
+def _meets(runs: list[dict], first: str, last: str) -> bool:
+    """Whether one of disjoint runs, in the order of keys, meets a range."""
+    at = bisect_right(runs, last, key=lambda r: r["first"])
+    return at > 0 and runs[at - 1]["last"] >= first
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None):
         if not path:
@@ -114,7 +143,9 @@ class Store:
             raise LogApplyError(source, e) from e
         if new or source is not None:
             self._commit([(ADD, STAGED, r) for r in new] or manifest.named(source))
-        if sum(r["entries"] for r in self._staged()) >= self.options.memtable_keys and self.staged_keys() >= self.options.memtable_keys:
+        # The keys of one batch are distinct; those of several need counting.
+        most = self.options.memtable_keys
+        if _entries_of(new) >= most or _entries_of(self._staged()) >= most and self.staged_keys() >= most:
             self.flush()
 
     @logged
@@ -149,9 +180,12 @@ class Store:
         a repeated one does nothing, whatever was flushed or compacted since."""
         self._write(changes, INSERT, source)
 
-    def _runs_of(self, entries: DataFrame, source: str | None = None) -> list[dict]:
+    def _runs_of(self, entries: DataFrame, source: str | None = None, at_most: int | None = None) -> list[dict]:
+        """Write runs; where at most so many entries are known to come, not in more parts than they need."""
         folder = f"{self.path}/runs/{files.uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if at_most is not None:
+            parts = max(1, min(parts, -(-at_most // min(self.options.run_entries, TASK))))
         return files.write_runs(entries, folder, parts, self.options.run_entries, self.options.bloom_fpp, source)
 
     def _staged(self) -> list[dict]:
@@ -166,10 +200,14 @@ class Store:
 
     @logged
     def flush(self) -> list[dict]:
-        """Staged batches become level-0 runs, in one commit; these runs."""
+        """Staged batches become level-0 runs, in one commit; these runs. The files of one batch alone are such
+        runs already and just move."""
         staged, new = self._staged(), []
         if staged:
-            new = self._runs_of(resolve.latest(self.entries(staged)))
+            if len({_folder(r) for r in staged}) == 1:
+                new = [_no_level(r) | {"source": None} for r in staged]
+            else:
+                new = self._runs_of(resolve.latest(self.entries(staged)), at_most=_entries_of(staged))
             self._commit([(CLEAR, STAGED, None), *[(ADD, 0, r) for r in new]])
             for listener in self.flush_listeners:
                 listener(new)
@@ -215,37 +253,61 @@ class Store:
     def compact(self) -> None:
         """Compact triggered levels from the top until none is left or nothing moves."""
         while levels := self.triggered():
-            self.compact_level(levels[0])
+            self.compact_level(levels[0], self.options.max_bytes(levels[0]))
 
-    def compact_level(self, level: int) -> None:
-        """Level 0: all its runs; below: the oldest run. They merge with the runs of the next level that
-        they overlap, or just move if there is none. Levels from 1 on stay disjoint."""
+    def compact_level(self, level: int, under: int | None = None) -> None:
+        """Level 0: all its runs; below: the oldest run or, to get ``under`` so many bytes, as many of the oldest
+        as that takes. They merge with the runs of the next level that they overlap, or just move if there is
+        none: all in one step and one commit, however many runs. Levels from 1 on stay disjoint."""
         runs = self.runs()
-        mine = [r for r in runs if r["level"] == level]
+        mine = sorted((r for r in runs if r["level"] == level), key=lambda r: (r["created_on"], r["run_id"]))
         if not mine or level >= self.options.levels - 1:
             return
-        upper = mine if level == 0 else [min(mine, key=lambda r: (r["created_on"], r["run_id"]))]
-        first, last = min(r["first"] for r in upper), max(r["last"] for r in upper)
-        lower = [r for r in runs if r["level"] == level + 1 and r["first"] <= last and first <= r["last"]]
-        if len(upper) == 1 and not lower and level > 0:
-            moved = _no_level(upper[0])
-            self._commit([(REMOVE, level, moved), (ADD, level + 1, moved)])
-            return
+        upper, left = [], sum(r["bytes"] for r in mine)
+        for r in mine:
+            if level > 0 and upper and (under is None or left < under):
+                break
+            upper.append(r)
+            left -= r["bytes"]
+        lower = [r for r in runs if r["level"] == level + 1]
+        if level == 0:
+            first, last = min(r["first"] for r in upper), max(r["last"] for r in upper)
+            stretches = [[*upper, *(r for r in lower if r["first"] <= last and first <= r["last"])]]
+        else:
+            stretches = [s for s in _stretches([*upper, *lower]) if any(r["level"] == level for r in s)]
+        moved = [_no_level(s[0]) for s in stretches if level > 0 and len(s) == 1]
+        merging = [s for s in stretches if level == 0 or len(s) > 1]
+        ops = [(REMOVE, level, r) for r in moved] + [(ADD, level + 1, r) for r in moved]
+        if merging:
+            gone = [r for s in merging for r in s]
+            new = self._runs_of(self._merged(merging, level), at_most=_entries_of(gone))
+            ops += [(REMOVE, r["level"], _no_level(r)) for r in gone] + [(ADD, level + 1, r) for r in new]
+        self._commit(ops)
+
+    def _merged(self, stretches: list[list[dict]], level: int) -> DataFrame:
+        """The newest version of each key of runs of a level and the next, by stretches of keys; where there
+        are several, with the number of each."""
         # A tombstone may go once no older copy of its key can lie anywhere else: not below, where the runs
         # that are merged reach, and not in what stays behind on either level (level 0 goes whole, the others
         # are disjoint).
-        first, last = min(first, *(r["first"] for r in [*upper, *lower])), max(last, *(r["last"] for r in [*upper, *lower]))
-        deeper = any(r["level"] > level + 1 and r["first"] <= last and first <= r["last"] for r in runs)
-        merged = resolve.latest(self.entries([*upper, *lower]))
-        if not deeper:
-            merged = merged.where(F.col("op") != DELETE)
-        gone = [(REMOVE, r["level"], _no_level(r)) for r in [*upper, *lower]]
-        self._commit([*gone, *[(ADD, level + 1, r) for r in self._runs_of(merged)]])
+        below = [r for r in self.runs() if r["level"] > level + 1]
+        deeper = [sorted((r for r in below if r["level"] == n), key=lambda r: r["first"]) for n in {r["level"] for r in below}]
+        keep = [any(_meets(d, min(r["first"] for r in s), max(r["last"] for r in s)) for d in deeper) for s in stretches]
+        entries = self.entries(r for s in stretches for r in s)
+        if len(stretches) == 1:
+            merged = resolve.latest(entries)
+            return merged if keep[0] else merged.where(F.col("op") != DELETE)
+        # Which stretch an entry is of, its file tells: a key lies in one stretch only, so that goes along in the key.
+        place = self.spark.createDataFrame([(r["path"], n, keep[n]) for n, s in enumerate(stretches) for r in s], "path string, stretch int, keep boolean")
+        placed = entries.select("*", F.col("_metadata.file_path").alias("path")).join(F.broadcast(place), "path", "left")
+        known = F.when(F.col("stretch").isNull(), F.raise_error(F.lit("a run's file has another name than the manifest says"))).otherwise(F.struct("stretch", "keep", "key"))
+        merged = resolve.latest(placed.select(known.alias("key"), "seq", "op", "value"))
+        return merged.where(F.col("key.keep") | (F.col("op") != DELETE)).select("key.key", "seq", "op", "value", "key.stretch")
 
     @logged
     def vacuum(self) -> None:
         """Delete run folders that no present run lies in, and what the last checkpoint stands for."""
-        kept = {r["path"].rsplit("/", 2)[-2] for r in self.runs()}
+        kept = {_folder(r) for r in self.runs()}
         for name in files.names(self.spark, f"{self.path}/runs"):
             if name not in kept:
                 files.remove(self.spark, f"{self.path}/runs/{name}")
